@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -44,10 +46,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets the context cleaner drop shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -13,8 +13,8 @@ that share a signature and aren't alike) its members are compared across compone
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,11 +27,15 @@ from .components import connected_components
 WIDTH = 5
 #: Similarity 75 of 100 as fixed integers: 100 * shared >= 75 * union, hence 175 * shared >= 75 * (a + b).
 PERCENT = 75
-CELLS = 128
+#: Cells of the size sketch; a power of two.
+CELLS = 1024
 #: Documents that a task combines before it sends signatures on: bounds its memory together with the signatures.
 CHUNK_SIGNATURES = 1_500_000
+#: Ids of documents to compare are broadcast up to this number, 16 MB; beyond it the texts are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: A group of a signature with more members than this is compared in tiles of about this many.
 TILE = 1024
+PAIRS_AT_ONCE = 200_000
 
 
 def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
@@ -81,7 +85,7 @@ class Instance:
             self.cells, self.parts, self.miss = k // 3 + 2 + k // 12, 5, 2
         else:
             self.cells, self.parts, self.miss = k + 3 + k // 3, 1, 0
-        self.choices = np.asarray(list(combinations(range(self.parts), self.parts - self.miss)))
+        self.choices = np.asarray(list(itertools.combinations(range(self.parts), self.parts - self.miss)))
         self.agreeing = self.cells - k // (self.miss + 1)
         self.seed = mix(np.asarray([band + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
         names = np.arange(1, self.cells * len(self.choices) + 1, dtype=np.uint64).reshape(self.cells, -1)
@@ -114,8 +118,13 @@ def signatures(u: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """A bit for each cell: whether an odd number of elements falls in it. Sets differ in an element at least where bits differ."""
+    return np.packbits((np.bincount((u & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and a sketch: how many elements fall in each cell."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set, and its sketch."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -124,7 +133,7 @@ def described(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 u = shingle_set(text or "", hashes)
                 f1, f2 = (int(mix(u + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2))
-                out.append((doc, len(u), f1, f2, np.minimum(np.bincount((u & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()))
+                out.append((doc, len(u), f1, f2, sketch(u)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
     return docs.mapInPandas(rows, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
@@ -223,14 +232,17 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
 PAIR = "x long, y long"
 
 
-def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray | int, nb: np.ndarray) -> np.ndarray:
-    """Whether sets with these sketches (uint8 cells) and sizes can be linked: they differ in at least the cells' differences."""
-    differ = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return 200 * (na + nb - differ) >= 2 * PERCENT * (na + nb + differ)
+def plausible_difference(differ, a, b):
+    """Whether sets of sizes a and b that differ in at least ``differ`` elements can be linked."""
+    return 200 * (a + b - differ) >= 2 * PERCENT * (a + b + differ)
+
+
+def plausible(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return plausible_difference(np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64), a, b)
 
 
 def _sketches(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, CELLS)
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, CELLS // 64)
 
 
 def with_description(pairs: DataFrame, desc: DataFrame) -> DataFrame:
@@ -252,13 +264,32 @@ def sifted(pairs: DataFrame, desc: DataFrame) -> DataFrame:
     return with_description(pairs, desc).mapInPandas(rows, f"{PAIR}, same boolean")
 
 
+def fine_sketch(u: np.ndarray) -> bytes:
+    """How many elements fall in each of about as many cells; a tenth of the set's bytes."""
+    cells = 1 << max(7, (len(u) - 1).bit_length())
+    return np.minimum(np.bincount((u & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def fine_plausible(p: bytes, q: bytes, a: int, b: int) -> bool:
+    """Counts are capped at 255, which never makes their differences larger."""
+    u, v = (np.frombuffer(x, np.uint8).astype(np.int32) for x in (p, q))
+    cells = min(len(u), len(v))
+    return bool(plausible_difference(int(np.abs(u.reshape(-1, cells).sum(axis=0) - v.reshape(-1, cells).sum(axis=0)).sum()), a, b))
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """x, y of the pairs that are linked, by their whole sets."""
+    """x, y of the pairs that are linked. Fine sketches go first; the whole sets only of pairs that those can't rule out."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc_id"], "elements": [shingle_set(t or "", hashes).tobytes() for t in b["text"]]})
+            own = [shingle_set(t or "", hashes) for t in b["text"]]
+            yield pd.DataFrame({"doc": b["doc_id"], "n": [len(u) for u in own], "fine": [fine_sketch(u) for u in own], "elements": [u.tobytes() for u in own]})
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [fine_plausible(*r) for r in zip(b["fine_x"], b["fine_y"], b["n_x"], b["n_y"], strict=True)]
+            yield b.loc[ok, ["x", "y"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -270,10 +301,17 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok.append(linked(int((v[at] == u).sum()), len(u), len(v)))
             yield b.loc[ok, ["x", "y"]]
 
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    found = stored(docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc long, elements binary"), "shingle-sets")
-    y = pairs.join(found.select(F.col("doc").alias("y"), F.col("elements").alias("elements_y")), "y")
-    return y.join(found.select(F.col("doc").alias("x"), F.col("elements").alias("elements_x")), "x").mapInPandas(compare, PAIR)
+    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    found = stored(docs.join(side, "doc_id", "left_semi").mapInPandas(sets, "doc long, n long, fine binary, elements binary"), "shingle-sets")
+
+    def with_columns(of: DataFrame, columns: list[str]) -> DataFrame:
+        for s in "yx":
+            of = of.join(found.select(F.col("doc").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]), s)
+        return of
+
+    close = stored(with_columns(pairs.select("x", "y"), ["n", "fine"]).mapInPandas(sift, PAIR), "close")
+    return with_columns(close, ["elements"]).mapInPandas(compare, PAIR)
 
 
 def across(members: DataFrame) -> DataFrame:
@@ -283,35 +321,47 @@ def across(members: DataFrame) -> DataFrame:
     dealt = members.join(large, "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        sk, n, c, d, tile = _sketches(g["sketch"]), g["n_shingles"].to_numpy(), g["component"].to_numpy(), g["doc"].to_numpy(), g["tile"].to_numpy()
-        split = g["t1"].iat[0] != g["t2"].iat[0]
-        xs, ys = [], []
-        for i in range(len(d) - 1):
-            j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
-            if split:
-                j = j[tile[j] != tile[i]]
-            j = j[plausible(sk[i], sk[j], n[i], n[j])] if len(j) else j
-            xs.append(np.minimum(d[i], d[j]))
-            ys.append(np.maximum(d[i], d[j]))
-        return pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)}) if xs else pd.DataFrame({"x": [], "y": []}, dtype=np.int64)
-
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        for b in batches:
-            b = b if rest is None else pd.concat((rest, b), ignore_index=True)
-            key = b[["sig", "t1", "t2"]].to_numpy()
-            if not len(b):
+        for b in itertools.chain(batches, [None]):
+            held = b if rest is None else rest if b is None else pd.concat((rest, b), ignore_index=True)
+            if held is None or not len(held):
                 continue
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for lo, hi in zip(np.concatenate(([0], cuts)), cuts, strict=False):
-                yield compare(b.iloc[lo:hi])
-            rest = b.iloc[cuts[-1] if len(cuts) else 0 :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield compare(rest)
+            key = held[["sig", "t1", "t2"]].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(held)]))
+            # the last group may go on in the next batch
+            whole = len(held) if b is None else int(starts[-2])
+            rest = held.iloc[whole:].reset_index(drop=True)
+            g = held.iloc[:whole]
+            if not whole:
+                continue
+            docs, first, who = np.unique(g["doc"].to_numpy(), return_index=True, return_inverse=True)
+            sk, size, tile, split = _sketches(g["sketch"].iloc[first]), g["n_shingles"].to_numpy()[first], g["tile"].to_numpy(), (g["t1"] != g["t2"]).to_numpy()
+            # a row meets those of its group that come after its component
+            ends, c = np.repeat(starts[1:], np.diff(starts))[:whole], g["component"].to_numpy()
+            runs = np.unique(np.concatenate((starts, np.flatnonzero(c[1:] != c[:-1]) + 1)))
+            runs = runs[runs <= whole]
+            after = np.repeat(runs[1:], np.diff(runs))
+            many = ends - after
+            done, total = 0, np.cumsum(many)
+            while done < whole:
+                upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS_AT_ONCE)))
+                block = np.arange(done, min(upto, whole))
+                k = many[block]
+                i = np.repeat(block, k)
+                j = after[i] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+                ok = ~split[i] | (tile[i] != tile[j])
+                u, v = who[i[ok]], who[j[ok]]
+                fits = 100 * np.minimum(size[u], size[v]) >= PERCENT * np.maximum(size[u], size[v])
+                pair = np.unique((np.minimum(u, v)[fits] << 32) | np.maximum(u, v)[fits])
+                u, v = pair >> 32, pair & 0xFFFFFFFF
+                ok = plausible(sk[u], sk[v], size[u], size[v])
+                if ok.any():
+                    yield pd.DataFrame({"x": docs[u[ok]], "y": docs[v[ok]]})
+                done = int(block[-1]) + 1
 
     keys = ["sig", "t1", "t2"]
-    return dealt.select(*keys, "tile", "doc", "component", "n_shingles", "sketch").repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(rows, PAIR).distinct()
+    return dealt.select(*keys, "tile", "doc", "component", "n_shingles", "sketch").repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "component").mapInPandas(rows, PAIR).distinct()
 
 
 def _labelled(df: DataFrame, components: DataFrame, node: str, label: str) -> DataFrame:
@@ -330,20 +380,34 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     trees = stored(signature_trees(docs, min(3 * shuffle_partitions(spark), 1 << 15)), "trees")
     release_shuffles(spark)
 
-    # each document with the one that it shares most signatures with
-    votes = trees.groupBy("x", "y").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("y").agg(F.max_by("x", F.struct(F.col("votes"), -F.col("x"))).alias("x")).select("x", "y")
-    first = stored(sifted(best, desc), "pairs")
+    first = stored(sifted(trees.select("x", "y").distinct(), desc), "pairs")
     links = stored(verified(docs, first.filter("not same")).unionByName(first.filter("same").select("x", "y")), "links")
     found = stored(connected_components(links), "components")
     release_shuffles(spark)
 
-    # trees that still join different components: compare their members across components
+    # trees that still join different components, each set of members once
     joined = _labelled(_labelled(trees, found, "x", "cx"), found, "y", "cy")
-    open_sigs = stored(joined.filter("cx <> cy").select("sig").distinct(), "open")
-    members = trees.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("x", "y")).alias("doc")).distinct()
-    members = _labelled(members, found, "doc", "component").join(desc.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc")
-    more = stored(across(members).join(first.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    open_sigs = stored(joined.filter("cx <> cy").groupBy("sig").agg(F.count("*").alias("edges")), "open")
+    members = stored(trees.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("x", "y")).alias("doc")).distinct(), "members")
+    sets = members.groupBy("sig").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(seed), "doc").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]).filter("n > 2")
+    once = sets.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    members = stored(members.join(once, "sig", "left_semi"), "members")
+
+    # a document of each component with one of another, chosen anew for each signature: merges groups of copies whose leader was far off
+    reps = _labelled(members, found, "doc", "component").groupBy("sig", "component").agg(F.min(F.struct(F.xxhash64("sig", "doc").alias("h"), "doc")).alias("rep"))
+    hubs = reps.groupBy("sig").agg(F.min("rep").alias("hub"))
+    again = reps.join(hubs, "sig").select(F.least("rep.doc", "hub.doc").alias("x"), F.greatest("rep.doc", "hub.doc").alias("y")).filter("x <> y").distinct()
+    second = stored(sifted(again.join(first, ["x", "y"], "left_anti"), desc), "pairs")
+    links = stored(verified(docs, second).unionByName(found.select(F.col("component").alias("x"), F.col("node").alias("y"))), "links")
+    found = stored(connected_components(links), "components")
+    release_shuffles(spark)
+
+    # the rest: all members across components
+    members = _labelled(members, found, "doc", "component")
+    several = members.groupBy("sig").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("sig")
+    members = members.join(several, "sig", "left_semi").join(desc.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc")
+    tried = first.select("x", "y").unionByName(second.select("x", "y"))
+    more = stored(across(members).join(tried, ["x", "y"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = stored(verified(docs, more).unionByName(found.select(F.col("component").alias("x"), F.col("node").alias("y"))), "links")
         found = stored(connected_components(links), "components")
