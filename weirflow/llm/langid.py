@@ -1,6 +1,6 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy.
 
-A text is the mean of the embeddings of its words' subwords (all runs of 3 to 5 bytes, with word ends marked), hashed into
+A text is the mean of the embeddings of its words' subwords (all runs of 3 or 4 bytes, with word ends marked), hashed into
 a fixed number of rows. As the classifier is linear, a subword's share of the logits is a table row, a word's a cached
 sum of rows, and scoring a text is one table lookup per word. A temperature fitted on the calibration part of the sample
 turns logits into probabilities; texts below the confidence at which that part reaches the wanted precision are rejected.
@@ -23,6 +23,8 @@ from .sampling import held_out, per_class_sample
 
 #: The bound of the sample: documents of each language, and words of each document (by hash, over the whole text).
 SAMPLE_DOCS, SAMPLE_WORDS = 1_000, 40
+#: Lengths of subwords in bytes.
+SUBWORDS = (3, 4)
 ROWS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 16, 4, 32, 0.5
 PRECISION = 0.98
 UNKNOWN = "und"
@@ -33,9 +35,25 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word[:40]}>".encode()
-    return [xxhash.xxh32_intdigest(marked[i : i + n]) % ROWS for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))]
+_MULTIPLIERS = (np.arange(1, 9, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all words' subwords, and which word each is of."""
+    marked = [f"<{w[:40]}>".encode() for w in words]
+    sizes = np.asarray([len(m) for m in marked], np.int64)
+    text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    word, end = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    rows, of = [], []
+    for n in SUBWORDS:
+        at = np.flatnonzero(np.arange(len(text)) + n <= end)
+        h = np.full(len(at), n, np.uint32)
+        for j in range(n):
+            h = (h ^ text[at + j]) * _MULTIPLIERS[j]
+            h ^= h >> np.uint32(15)
+        rows.append((h & np.uint32(ROWS - 1)).astype(np.int64))
+        of.append(word[at])
+    return np.concatenate(rows), np.concatenate(of)
 
 
 class Model:
@@ -104,12 +122,13 @@ class WordSums(dict):
         self.table, self.most = table, most
         self.sums = np.zeros((most, table.shape[1] + 1), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        rows = subwords(word)
-        self[word] = k = len(self)
-        self.sums[k, :-1] = self.table[rows].sum(axis=0)
-        self.sums[k, -1] = len(rows)
-        return k
+    def learn(self, words: list[str]) -> None:
+        rows, of = subwords(words)
+        k, n = len(self), len(words)
+        for c in range(self.table.shape[1]):
+            self.sums[k : k + n, c] = np.bincount(of, self.table[rows, c], n)
+        self.sums[k : k + n, -1] = np.bincount(of, minlength=n)
+        self.update(zip(words, range(k, k + n), strict=True))
 
     def of(self, words: list[str]) -> np.ndarray:
         """The sum over all words, in parts, so that a long text can't overfill the table."""
@@ -118,6 +137,8 @@ class WordSums(dict):
             part = words[k : k + 50_000]
             if len(self) + len(part) > self.most:
                 self.clear()
+            if new := [w for w in dict.fromkeys(part) if w not in self]:
+                self.learn(new)
             total += self.sums[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
         return total
 
@@ -128,7 +149,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [heapq.nsmallest(sample_words, set(t.lower().split()), key=lambda w: (xxhash.xxh32_intdigest(w, 5), w)) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"], "rows": [[r for w in ws for r in subwords(w)] for ws in words]})
+            yield pd.DataFrame({"lang": b["lang"], "rows": [subwords(ws)[0].tolist() if ws else [] for ws in words]})
 
     rows = per_class_sample(docs.filter(~held_out(F.col("doc_id"))).filter("text is not null").select("doc_id", "text", "lang"), "lang", sample_docs)
     got = [(lang, np.asarray(r, np.int64)) for lang, r in rows.mapInPandas(bags, "lang string, rows array<int>").toLocalIterator()]
