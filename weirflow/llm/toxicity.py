@@ -22,7 +22,7 @@ from .common import documents
 from .sampling import held_out, per_class_sample
 
 #: The bound of the sample: about so many labelled documents of each class.
-SAMPLE_DOCS = 5_000
+SAMPLE_DOCS = 2_500
 #: What is taken from events of 0, 1, 2, and 3 or more documents; single documents say little. Pairs need so many documents.
 DISCOUNTS, PAIR_DOCS = (0, 0.9, 1.5, 2.0), 3
 #: Words of the stretch whose mean evidence is largest, for each of these lengths.
