@@ -51,21 +51,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     hit = each.join(F.broadcast(hot), ["h1", "h2"]).unionByName(each.join(rest, ["h1", "h2"]))
     dropped = hit.filter("doc_id <> last_doc").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("pos").alias("_gone"))
 
-    joined = docs.join(dropped, F.col("doc_id") == F.col("_doc"), "left")
+    # the row as a struct, so that no column's name clashes
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(dropped, F.col("row.doc_id") == F.col("_doc"), "left")
     result = let(
-        F.struct(document_lines(F.col("text")).alias("lines"), F.col("_gone").alias("gone")),
+        F.struct(document_lines(F.col("row.text")).alias("lines"), F.col("_gone").alias("gone")),
         lambda x: F.struct(
             F.size(x["lines"]).cast("long").alias("n_lines"),
-            F.coalesce(F.size(x["gone"]), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(
                 x["gone"].isNotNull(),
                 F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"]), lambda i: F.element_at(x["lines"], i + 1)), "\n"),
             ).alias("text"),
         ),
     )
-    names = docs.columns
-    joined = joined.withColumn("_r", result)
-    return joined.select(*[(F.coalesce("_r.text", "text", F.lit("")).alias("text") if c == "text" else F.col(c)) for c in names], F.col("_r.n_lines").alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("_r.n_dropped")).alias("n_dropped"))
+    joined = joined.select("row", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"), result.alias("r"))
+    text = F.coalesce("r.text", "row.text", F.lit("")).alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.col("r.n_lines").alias("n_lines"), "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
