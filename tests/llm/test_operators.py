@@ -1,0 +1,286 @@
+"""Operators against brute force, exact round trips and held-out accuracy, on small tables with nulls, empty texts and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from weirflow.llm import decontam, forest, langid, linededup, ngram_join, packing, quality, secrets, sharding, tokenid, tokens, toxicity
+from weirflow.llm.common import WordHashes, documents
+from weirflow.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, _doc int"
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "a b c d e f g"), (6, "a b c d e f g"), (6, "a b c d e f g"), (7, "É́ ß x <|endoftext|>\r\n\nz "), (8, "word " * 5000), (None, "no id at all here")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en", None if i == 4 else "s", 0, "x", 1) for i, t in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in documents(spark, SF).collect()}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+
+
+@pytest.mark.parametrize(("kind", "name"), [(tokens.WordBpe, "word_bpe_49k.json"), (tokens.ByteBpe, "byte_bpe_50k.json")])
+def test_encoders_equal_the_tokenizer(texts, kind, name):
+    e = kind(public_tokenizers.path(name), most=500)
+    for t in [*texts.values(), *(t for _, t in ODD if t), "a  b", " a", "a\n\nb", "I'm. it's", "İ ς ́x", "x\x1cy", "12 ½", "日本 語"]:
+        assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("vocabulary", [2, 100, 49_408, 70_000])
+def test_bit_packing_round_trip(vocabulary):
+    rng, bits = np.random.default_rng(1), tokenid.width_for(vocabulary)
+    docs = [rng.integers(0, vocabulary, n, dtype=np.uint32) for n in (1, 5000, 0, 4096, 9999)]
+    seg = tokenid.Segment(tokenid.write_segment(list(range(5)), [d.astype("<u4").tobytes() for d in docs], bits))
+    every = np.concatenate(docs)
+    assert (seg.ids() == every).all() and all((seg.slice(a, b) == every[a:b]).all() for a, b in ((0, 1), (4095, 4097), (6000, 15000), (7, 7)))
+
+
+def test_token_ids(spark, odd, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenid.write_token_ids(odd, str(tmp_path / "t"), path, 49_408, 2)
+    got = tokenid.read_token_ids(spark, str(tmp_path / "t")).orderBy("start").collect()
+    e, at = tokens.WordBpe(path), 0
+    for r, (i, t) in zip(got, [x for x in ODD if x[0]], strict=True):
+        ids = e.whole(t or "") + np.asarray([2], "<u4").tobytes()
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+
+
+def test_best_fit():
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 2047) for _ in range(3000)]
+    bins = packing.best_fit(sizes, 2048)
+    assert sorted(k for b in bins for k in b) == list(range(3000)) and all(sum(sizes[k] for k in b) <= 2048 for b in bins)
+    assert len(bins) <= 1.03 * -(-sum(sizes) // 2048)
+
+
+def test_packing(spark, odd, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for docs in (odd, documents(spark, SF)):
+        got = packing.pack_documents(docs, path).collect()
+        e, want = tokens.ByteBpe(path), Counter()
+        for r in docs.filter("doc_id is not null").collect():
+            ids, at = e.whole(r["text"] or "") + bytes(4), 0
+            for k, n in enumerate(packing.cut_sizes(len(ids) // 4, 2048)):
+                want[r["doc_id"], k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])] += 1
+                at += n
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        held = defaultdict(list)
+        for r in got:
+            held[r["sequence_id"]].append((r["offset"], r["length"]))
+        for places in held.values():
+            at = 0
+            for offset, n in sorted(places):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        assert len(held) <= 1.05 * -(-sum(r["length"] for r in got) // 2048) + 1
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def brute_quality(rows, max_docs, min_left):
+    host_lines, out = defaultdict(set), []
+    for i, t, host in rows:
+        for line in (t or "").split("\n"):
+            if len(words(line)) >= quality.MIN_LINE_WORDS:
+                host_lines[host, ascii_lower(line.strip(" \t\n\x0b\x0c\r"))].add(i)
+    for i, t, host in rows:
+        w = words(t)
+        spans = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        rep = {k + j for k in range(len(w) - 7) if spans[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        lost = sum(len(words(x)) for x in lines if len(words(x)) >= quality.MIN_LINE_WORDS and len(d := host_lines[host, ascii_lower(x.strip(" \t\n\x0b\x0c\r"))]) > max_docs and min(d) != i)
+        failed = len(w) < 20 or 100 * len(rep) > 30 * len(w)
+        out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), failed, not failed and len(w) - lost >= min_left * len(w)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("max_docs", [1, 3])
+def test_quality(spark, odd, empty, max_docs):
+    for docs in (odd, documents(spark, SF)):
+        rows = [(r["doc_id"], r["text"], r["source"] or "") for r in docs.filter("doc_id is not null").collect()]
+        got = quality.quality(docs, max_docs=max_docs, min_left=0.5).drop("removed_words").collect()
+        assert sorted(map(tuple, got)) == brute_quality(rows, max_docs, 0.5)
+    assert quality.quality(empty).count() == 0
+
+
+def test_line_dedup(spark, odd, empty):
+    lines = ["A shared line that is long enough", "a SHARED line that is long enough \t", "only in this document, number %d", "short", ""]
+    extra = [(100 + k, "\n".join([*lines[:2], lines[2] % k, "short", "", "tail"]), "en", "s", 0, "x", 1) for k in range(4)]
+    docs = odd.unionByName(spark.createDataFrame(extra, SCHEMA))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for i, t in rows:
+        if i is not None:
+            for line in (t or "").split("\n"):
+                holders[key(line)].add(i)
+    want = Counter()
+    for i, t in rows:
+        own = (t or "").split("\n")
+        keep = [x for x in own if i is None or not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and max(holders[key(x)]) != i)]
+        want[i, len(own), len(own) - len(keep), "\n".join(keep)] += 1
+    got = linededup.dedup_lines(docs)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == want
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def brute_sets(rows):
+    out = defaultdict(list)
+    for i, t in rows:
+        w = words(ascii_lower(t))
+        out[i].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+def test_ngram_join(spark, odd, empty):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    rows = [(i, t) for i, t in ODD if i]
+    for k in range(60):  # families whose members differ more and more, and documents that share a passage only
+        n = rng.choice((6, 9, 12, 30, 80, 200))
+        base = rng.choices(vocabulary, k=n)
+        for _ in range(4):
+            rows.append((1000 + len(rows), " ".join(base)))
+            base = [rng.choice(vocabulary) if rng.random() < 0.4 / n**0.7 else w for w in base]
+        rows.append((1000 + len(rows), passage + " " + " ".join(rng.choices(vocabulary, k=20))))
+    sets = brute_sets(rows)
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and any(s and 100 * len(s & t) >= 75 * len(s | t) for s in sets[a] for t in sets[b]):
+                ra, rb = sorted((root(a), root(b)))
+                parent[rb] = ra
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, root(i)) for i in ids}
+    assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == Counter((i, len(s)) for i, ss in sets.items() for s in ss)
+    assert ngram_join.similar_documents(empty).count() == 0
+
+
+def test_signatures_miss_no_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 4, 5, 7, 9, 12, 17, 25, 40, 90, 150, 400]))
+        base = rng.integers(0, 2**63, 2 * n + 4, dtype=np.uint64)
+        a, b = np.unique(base[:n]), np.unique(base[(k := int(rng.integers(0, n // 3 + 1))) : k + n + int(rng.integers(0, n // 3 + 1))])
+        if ngram_join.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+            assert len(np.intersect1d(ngram_join.signatures(a), ngram_join.signatures(b)))
+
+
+def test_sketches_rule_out_no_linked_pair():
+    rng = np.random.default_rng(5)
+    for n in (3, 50, 700, 6000):
+        base = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        for d in range(0, n // 2 + 1, max(1, n // 9)):
+            a, b = np.unique(base[:n]), np.unique(base[d : d + n])
+            if ngram_join.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                p, q = (np.frombuffer(ngram_join.sketch(u), np.uint64) for u in (a, b))
+                assert ngram_join.plausible(p[None], q, np.asarray([len(a)]), np.asarray([len(b)])).all()
+                assert ngram_join.fine_plausible(ngram_join.fine_sketch(a), ngram_join.fine_sketch(b), len(a), len(b))
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(k, k + 1) for k in range(400, 460)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = sorted((root(a), root(b)))
+        parent[rb] = ra
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_decontamination(spark, odd, empty):
+    items = [(1, "a b c d e f g"), (2, " ".join(f"q{k}" for k in range(30))), (3, None), (4, "x y"), (None, "a b c d e")]
+    long = "pad " * 3000 + " ".join(f"q{k}" for k in range(3, 30)) + " end" * 3000
+    docs = odd.unionByName(spark.createDataFrame([(50, long, "en", "s", 0, "x", 1), (51, " ".join(f"Q{k}" for k in range(9)), "en", "s", 0, "x", 1), (52, "X\tY", "en", "s", 0, "x", 1)], SCHEMA))
+    sets, bench = brute_sets([(r["doc_id"], r["text"]) for r in docs.filter("doc_id is not null").collect()]), brute_sets(items)
+    want = {(i, j, len(set.union(*ss) & b)) for i, ss in sets.items() for j, (b,) in bench.items() if j and b and 100 * len(set.union(*ss) & b) >= 75 * len(b)}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["n_shared"]) for r in decontam.contaminated(docs, table).collect()} == want and (50, 2, 23) in want
+    assert decontam.contaminated(empty, table).count() == 0 and decontam.contaminated(docs, table.limit(0)).count() == 0
+
+
+def test_sharding(spark, odd, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), least_bytes=100_000)
+    for _ in range(9):
+        store.append(odd)
+    before = store.version()
+    assert store.compact() == before + 2 and len(store.shards()) == 3
+    assert store.read().count() == store.read(before).count() == 9 * len(ODD)
+    with pytest.raises(sharding.Conflict):
+        store._commit(before, [])
+    store.vacuum()
+    assert store.read().exceptAll(odd.unionByName(odd)).count() == 7 * len(ODD)
+
+
+def test_secrets(spark, odd, empty):
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [(1, f'say token = "{key}" and token = "{key}"'), (2, f"see commit {key} for it"), (3, "nothing here"), (4, None)]
+    got = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"]) for r in got) == [(1, m.start()) for m in re.finditer(key, texts[0][1])]
+    assert secrets.scan(odd).count() == 0 and secrets.scan(empty).count() == 0
+
+
+def test_forest_sql(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 3)).round(3)
+    grown = forest.grow_forest(x, (x[:, 0] > 0.5).astype(float), depth=3)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = [r[0] for r in rows.select(F.expr(forest.forest_sql(grown, ["a", "b", "c"]))).collect()]
+    assert np.abs(np.asarray(got) - forest.forest_score(grown, x)).max() < 1e-5
+
+
+def test_language_id(spark, odd, empty):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    model = langid.learn(docs)
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    strange = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(odd, model).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und")} <= strange and langid.predict(odd, langid.learn(empty)).count() == len(ODD)
+
+
+def test_toxicity(spark, odd, empty):
+    docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    got = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in got)
+    assert hit >= 0.6 * sum(r["toxic"] for r in got) and hit >= 0.7 * sum(r["predicted"] for r in got)
+    assert toxicity.score(odd, model).filter("score between 0 and 1").count() == len(ODD) and toxicity.learn(empty, labels) is None
