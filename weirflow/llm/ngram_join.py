@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ PERCENT = 75
 CELLS = 1024
 #: Documents that a task combines before it sends signatures on: bounds its memory together with the signatures.
 CHUNK_SIGNATURES = 1_500_000
+#: Characters of text whose sets are taken in one vectorised pass; a longer text goes alone.
+CHUNK_CHARS = 2_000_000
 #: Ids of documents to compare are broadcast up to this number, 16 MB; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: A group of a signature with more members than this is compared in tiles of about this many.
@@ -48,6 +51,40 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
     return np.unique(h if width == WIDTH else mix(h + np.uint64(width)))
 
 
+def chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """doc_id and text of neighbouring rows, about CHUNK_CHARS characters at a time."""
+    ids, texts = batch["doc_id"].to_numpy(), [t or "" for t in batch["text"]]
+    part = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for lo, hi in itertools.pairwise(cuts):
+        if hi > lo:
+            yield ids[lo:hi], texts[lo:hi]
+
+
+def shingle_sets(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_set`` of each text, one after another, and their sizes."""
+    split = [t.encode().lower().split() for t in texts]
+    lens = np.asarray([len(w) for w in split], np.int64)
+    words = hashes.of(list(itertools.chain.from_iterable(split)))
+    starts = np.cumsum(lens) - lens
+    short = np.flatnonzero((lens > 0) & (lens < WIDTH))
+    many = np.maximum(lens - WIDTH + 1, 0)
+    many[short] = 1
+    begins = np.cumsum(many) - many
+    # where in ``words`` each window starts
+    at = np.arange(many.sum()) + np.repeat(starts - begins, many)
+    every = window_hashes(words, WIDTH)
+    values = every[np.minimum(at, len(every) - 1)] if len(every) else np.zeros(len(at), np.uint64)
+    for d in short.tolist():
+        values[begins[d]] = mix(window_hashes(words[starts[d] : starts[d] + lens[d]], int(lens[d])) + np.uint64(lens[d]))[0]
+    for lo, n in zip(begins.tolist(), many.tolist(), strict=True):
+        values[lo : lo + n].sort()
+    owner = np.repeat(np.arange(len(texts)), many)
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.bincount(owner[new], minlength=len(texts))
+
+
 def linked(shared: int, a: int, b: int) -> bool:
     return 100 * shared >= PERCENT * (a + b - shared)
 
@@ -91,52 +128,52 @@ class Instance:
         names = np.arange(1, self.cells * len(self.choices) + 1, dtype=np.uint64).reshape(self.cells, -1)
         self.names = mix(names + self.seed)
 
-    def signatures(self, u: np.ndarray) -> np.ndarray:
-        """u: ascending hashes. A part is a range of hashes, so the elements of one are neighbours."""
-        part = ((u >> np.uint64(32)) * np.uint64(self.cells * self.parts)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        full = np.zeros(self.cells * self.parts, np.uint64)
-        full[part[first].astype(np.int64)] = np.add.reduceat(mix(u ^ self.seed), first)
-        held = full.reshape(self.cells, self.parts)[:, self.choices]
-        out, some = mix(held.sum(axis=2, dtype=np.uint64) + self.names), (held != 0).any(axis=2)
+    def signatures(self, u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """u: ascending hashes of each set in turn. Signatures and the place of their set. A part is a range of hashes,
+        so the elements of one are neighbours."""
+        wide = self.cells * self.parts
+        part = ((u >> np.uint64(32)) * np.uint64(wide)) >> np.uint64(32)
+        slot = part.astype(np.int64) + np.repeat(np.arange(len(counts)) * wide, counts)
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        full = np.zeros(len(counts) * wide, np.uint64)
+        full[slot[first]] = np.add.reduceat(mix(u ^ self.seed), first)
+        held = full.reshape(len(counts), self.cells, self.parts)[:, :, self.choices]
+        out, some = mix(held.sum(axis=3, dtype=np.uint64) + self.names), (held != 0).any(axis=3)
         # Empty choices say nothing, unless this set has so many that a partner might agree with it on those only.
-        return out.reshape(-1) if self.agreeing <= int((~some).any(axis=1).sum()) else out[some]
+        some |= (self.agreeing <= (~some).any(axis=2).sum(axis=1))[:, None, None]
+        return out[some], np.repeat(np.arange(len(counts)), some.sum(axis=(1, 2)))
 
 
 _INSTANCES: dict[int, Instance] = {}
 
 
-def signatures(u: np.ndarray) -> np.ndarray:
-    band = band_of(len(u))
-    out = []
-    for b in (band, band - 1):
-        if b < 0:
-            continue
+def signatures(u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of sets given one after another, and the place of each one's set; a set may repeat one."""
+    band = np.where(counts > 0, np.searchsorted(_TOPS, counts), -2)
+    sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    held = np.unique(band[band >= 0])
+    for b in np.unique(np.concatenate((held, held[held > 0] - 1))).tolist():
         if b not in _INSTANCES:
             _INSTANCES[b] = Instance(b)
-        out.append(_INSTANCES[b].signatures(u))
-    return np.unique(np.concatenate(out))
+        of = (band == b) | (band == b + 1)
+        sig, owner = _INSTANCES[b].signatures(u[np.repeat(of, counts)], counts[of])
+        sigs.append(sig)
+        owners.append(np.flatnonzero(of)[owner])
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
-def sketch(u: np.ndarray) -> bytes:
+def sketches(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A bit for each cell: whether an odd number of elements falls in it. Sets differ in an element at least where bits differ."""
-    return np.packbits((np.bincount((u & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).astype(np.uint8)).tobytes()
+    cell = (u & np.uint64(CELLS - 1)).astype(np.int64) + np.repeat(np.arange(len(counts)) * CELLS, counts)
+    odd = np.bincount(cell, minlength=len(counts) * CELLS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(counts), CELLS), axis=1)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and its sketch."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                u = shingle_set(text or "", hashes)
-                f1, f2 = (int(mix(u + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2))
-                out.append((doc, len(u), f1, f2, sketch(u)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "sketch"])
-
-    return docs.mapInPandas(rows, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+def fingerprints(u: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set, as two longs."""
+    ends = np.cumsum(counts)
+    sums = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(u + np.uint64(s)), dtype=np.uint64))) for s in (1, 2))
+    return [(total[ends] - total[ends - counts]).view(np.int64) for total in sums]
 
 
 def _runs(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,21 +196,24 @@ def _names(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (sig & np.uint64((1 << 48) - 1)).astype(np.int64) | (_bucket(sig, buckets) << 48)
 
 
-EDGES = "sig long, x long, y long"
+#: An edge of a signature's tree, or (sketch isn't null) the description of document x.
+ROWS = "sig long, x long, y long, n_shingles long, f1 long, f2 long, sketch binary"
+ROW_TYPES = [pa.int64()] * 6 + [pa.binary()]
 
 
 def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
-    """sig, x, y: for each signature that documents share, edges that make a tree of them; x is the lesser id."""
+    """For each signature that documents share, edges sig, x, y that make a tree of them; x is the lesser id. From the same
+    pass over the texts a row for each document: x, the size of its set, a 128-bit fingerprint and the sketch."""
 
     def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         sigs: list[np.ndarray] = []
-        owners: list[int] = []
+        owners: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pd.DataFrame]:
             sig = np.concatenate(sigs)
-            owner = np.repeat(np.asarray(owners, np.int64), [len(s) for s in sigs])
+            owner = np.concatenate(owners)
             leads, sig, owner, (at, rest) = _runs(sig, owner)
             for k in range(0, len(at), 500_000):
                 a, r = at[k : k + 500_000], rest[k : k + 500_000]
@@ -189,25 +229,34 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
                     yield pd.DataFrame({"bucket": [b], "sigs": [s[lo:hi].view("<u8").astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()], "ids": [ids.tobytes()], "owners": [index.astype("<u4" if len(ids) > 65_535 else "<u2").tobytes()]})
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
-                u = shingle_set(text or "", hashes)
-                if len(u):
-                    sigs.append(signatures(u))
-                    owners.append(doc)
-                    held += len(sigs[-1])
+            for ids, texts in chunks(batch):
+                u, counts = shingle_sets(texts, hashes)
+                facts = np.stack((ids, counts, *fingerprints(u, counts)), axis=1)
+                yield pd.DataFrame({"bucket": [-2], "sigs": [sketches(u, counts).tobytes()], "ids": [facts.tobytes()], "owners": [b""]})
+                sig, owner = signatures(u, counts)
+                sigs.append(sig)
+                owners.append(ids[owner])
+                held += len(sig)
                 if held >= CHUNK_SIGNATURES:
                     yield from flush()
                     sigs, owners, held = [], [], 0
         if held:
             yield from flush()
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def framed(sig, x, y, n=None, f1=None, f2=None, sketch=None) -> pa.RecordBatch:
+        made = zip((sig, x, y, n, f1, f2, sketch), ROW_TYPES, strict=True)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(x), t) if v is None else pa.array(v, t) for v, t in made], names=[c.split()[0] for c in ROWS.split(", ")])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[tuple]] = {}
         for batch in batches:
-            for bucket, s, ids, o in zip(batch["bucket"].tolist(), batch["sigs"], batch["ids"], batch["owners"], strict=True):
-                if bucket < 0:
+            for bucket, s, ids, o in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "ids", "owners")), strict=True):
+                if bucket == -2:
+                    facts = np.frombuffer(ids, np.int64).reshape(-1, 4)
+                    yield framed(None, facts[:, 0], None, *facts[:, 1:].T, [s[k : k + CELLS // 8] for k in range(0, len(s), CELLS // 8)])
+                elif bucket == -1:
                     local = np.frombuffer(s, np.int64).reshape(-1, 3)
-                    yield pd.DataFrame({"sig": local[:, 0], "x": local[:, 1], "y": local[:, 2]})
+                    yield framed(*local.T)
                 else:
                     own.setdefault(bucket, []).append((s, ids, o))
         while own:
@@ -221,12 +270,12 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
                 who = np.frombuffer(ids, np.int64)
                 owner.append(who[np.frombuffer(o, "<u2" if len(o) == 2 * n else "<u4")])
             _, sig, owner, (at, rest) = _runs(np.concatenate(sig) | np.uint64(bucket << 48), np.concatenate(owner))
-            yield pd.DataFrame({"sig": sig[at].view(np.int64), "x": owner[at], "y": owner[rest]})
+            yield framed(sig[at].view(np.int64), owner[at], owner[rest])
 
     sent = docs.mapInPandas(combined, "bucket int, sigs binary, ids binary, owners binary")
     # a bucket's rows meet in one task; local edges, which need not, stay spread
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("sigs")).otherwise(F.col("bucket").cast("long"))
-    return sent.withColumn("spread", spread).repartition(shuffle_partitions(docs.sparkSession), "spread").drop("spread").mapInPandas(met, EDGES)
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("sigs", "ids")).otherwise(F.col("bucket").cast("long"))
+    return sent.withColumn("spread", spread).repartition(shuffle_partitions(docs.sparkSession), "spread").drop("spread").mapInArrow(met, ROWS)
 
 
 PAIR = "x long, y long"
@@ -283,8 +332,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            own = [shingle_set(t or "", hashes) for t in b["text"]]
-            yield pd.DataFrame({"doc": b["doc_id"], "n": [len(u) for u in own], "fine": [fine_sketch(u) for u in own], "elements": [u.tobytes() for u in own]})
+            for ids, texts in chunks(b):
+                u, counts = shingle_sets(texts, hashes)
+                own = np.split(u, np.cumsum(counts)[:-1])
+                yield pd.DataFrame({"doc": ids, "n": counts, "fine": [fine_sketch(v) for v in own], "elements": [v.tobytes() for v in own]})
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -311,7 +362,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return of
 
     close = stored(with_columns(pairs.select("x", "y"), ["n", "fine"]).mapInPandas(sift, PAIR), "close")
-    return with_columns(close, ["elements"]).mapInPandas(compare, PAIR)
+    out = stored(with_columns(close, ["elements"]).mapInPandas(compare, PAIR), "linked")
+    release_shuffles(docs.sparkSession)
+    return out
 
 
 def across(members: DataFrame) -> DataFrame:
@@ -376,27 +429,30 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     one document, linked with whatever one of its texts is linked with. Other columns are ignored."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    desc = stored(described(docs), "described")
-    trees = stored(signature_trees(docs, min(3 * shuffle_partitions(spark), 1 << 15)), "trees")
+    both = stored(signature_trees(docs, min(3 * shuffle_partitions(spark), 1 << 15)), "trees")
     release_shuffles(spark)
+    desc = stored(both.filter("sketch is not null").select(F.col("x").alias("doc_id"), "n_shingles", "f1", "f2", "sketch"), "described")
+    trees = both.filter("y is not null").select("sig", "x", "y")
 
-    first = stored(sifted(trees.select("x", "y").distinct(), desc), "pairs")
+    edges = stored(trees.select("x", "y").distinct(), "tree-pairs")
+    first = stored(sifted(edges, desc), "pairs")
     links = stored(verified(docs, first.filter("not same")).unionByName(first.filter("same").select("x", "y")), "links")
     found = stored(connected_components(links), "components")
     release_shuffles(spark)
 
     # trees that still join different components, each set of members once
-    joined = _labelled(_labelled(trees, found, "x", "cx"), found, "y", "cy")
-    open_sigs = stored(joined.filter("cx <> cy").groupBy("sig").agg(F.count("*").alias("edges")), "open")
-    members = stored(trees.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("x", "y")).alias("doc")).distinct(), "members")
-    sets = members.groupBy("sig").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(seed), "doc").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]).filter("n > 2")
+    unlike = _labelled(_labelled(edges, found, "x", "cx"), found, "y", "cy").filter("cx <> cy").select("x", "y")
+    open_sigs = stored(trees.join(unlike, ["x", "y"], "left_semi").select("sig").distinct(), "open")
+    every = stored(trees.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("x", "y")).alias("doc")).distinct(), "members")
+    sets = every.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "doc")).alias(f"h{seed}") for seed in (1, 2)]).filter("n > 2")
     once = sets.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    members = stored(members.join(once, "sig", "left_semi"), "members")
+    members = stored(every.join(once, "sig", "left_semi"), "members")
+    release_shuffles(spark)
 
     # a document of each component with one of another, chosen anew for each signature: merges groups of copies whose leader was far off
-    reps = _labelled(members, found, "doc", "component").groupBy("sig", "component").agg(F.min(F.struct(F.xxhash64("sig", "doc").alias("h"), "doc")).alias("rep"))
-    hubs = reps.groupBy("sig").agg(F.min("rep").alias("hub"))
-    again = reps.join(hubs, "sig").select(F.least("rep.doc", "hub.doc").alias("x"), F.greatest("rep.doc", "hub.doc").alias("y")).filter("x <> y").distinct()
+    reps = _labelled(members, found, "doc", "component").groupBy("sig", "component").agg(F.min_by("doc", F.xxhash64("sig", "doc")).alias("rep"))
+    hubs = reps.groupBy("sig").agg(F.min_by("rep", F.xxhash64("sig", "rep")).alias("hub"))
+    again = reps.join(hubs, "sig").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).filter("x <> y").distinct()
     second = stored(sifted(again.join(first, ["x", "y"], "left_anti"), desc), "pairs")
     links = stored(verified(docs, second).unionByName(found.select(F.col("component").alias("x"), F.col("node").alias("y"))), "links")
     found = stored(connected_components(links), "components")
