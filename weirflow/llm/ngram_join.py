@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, mix, release_shuffles, shuffle_partitions, stored, window_hashes
+from .common import WordHashes, discard, documents, mix, release_shuffles, shuffle_partitions, stored, window_hashes
 from .components import connected_components
 
 WIDTH = 5
@@ -363,6 +363,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     close = stored(with_columns(pairs.select("x", "y"), ["n", "fine"]).mapInPandas(sift, PAIR), "close")
     out = stored(with_columns(close, ["elements"]).mapInPandas(compare, PAIR), "linked")
+    discard(wanted, found, close)
     release_shuffles(docs.sparkSession)
     return out
 
@@ -447,6 +448,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = every.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "doc")).alias(f"h{seed}") for seed in (1, 2)]).filter("n > 2")
     once = sets.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
     members = stored(every.join(once, "sig", "left_semi"), "members")
+    discard(both, edges, open_sigs, every)
     release_shuffles(spark)
 
     # a document of each component with one of another, chosen anew for each signature: merges groups of copies whose leader was far off
