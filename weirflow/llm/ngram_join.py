@@ -176,14 +176,16 @@ def fingerprints(u: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [(total[ends] - total[ends - counts]).view(np.int64) for total in sums]
 
 
-def _runs(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by signature and owner: the first of each run, and for the others their run's signature, first and own owner."""
-    order = np.lexsort((owner, sig))
+def _runs(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct signatures, the least owner of each, and edges to the others as columns: signature, least, other."""
+    order = np.argsort(sig)
     sig, owner = sig[order], owner[order]
     lead = np.concatenate(([True], sig[1:] != sig[:-1]))
-    at = np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))
-    rest = ~lead & (owner != owner[at])
-    return np.flatnonzero(lead), sig, owner, np.stack((at[rest], np.flatnonzero(rest)))
+    starts = np.flatnonzero(lead)
+    least = np.minimum.reduceat(owner, starts)
+    run = np.cumsum(lead) - 1
+    rest = np.flatnonzero(owner != least[run])
+    return sig[starts], least, (sig[rest], least[run[rest]], owner[rest])
 
 
 def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
@@ -214,12 +216,11 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
         def flush() -> Iterator[pd.DataFrame]:
             sig = np.concatenate(sigs)
             owner = np.concatenate(owners)
-            leads, sig, owner, (at, rest) = _runs(sig, owner)
-            for k in range(0, len(at), 500_000):
-                a, r = at[k : k + 500_000], rest[k : k + 500_000]
-                local = np.stack((_names(sig[a], buckets), owner[a], owner[r]), axis=1)
+            s, o, (shared, x, y) = _runs(sig, owner)
+            for k in range(0, len(x), 500_000):
+                at = slice(k, k + 500_000)
+                local = np.stack((_names(shared[at], buckets), x[at], y[at]), axis=1)
                 yield pd.DataFrame({"bucket": [-1], "sigs": [local.tobytes()], "ids": [b""], "owners": [b""]})
-            s, o = sig[leads], owner[leads]
             bucket = _bucket(s, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
@@ -269,8 +270,8 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
                 sig.append(full.view("<u8").reshape(-1))
                 who = np.frombuffer(ids, np.int64)
                 owner.append(who[np.frombuffer(o, "<u2" if len(o) == 2 * n else "<u4")])
-            _, sig, owner, (at, rest) = _runs(np.concatenate(sig) | np.uint64(bucket << 48), np.concatenate(owner))
-            yield framed(sig[at].view(np.int64), owner[at], owner[rest])
+            _, _, (shared, x, y) = _runs(np.concatenate(sig) | np.uint64(bucket << 48), np.concatenate(owner))
+            yield framed(shared.view(np.int64), x, y)
 
     sent = docs.mapInPandas(combined, "bucket int, sigs binary, ids binary, owners binary")
     # a bucket's rows meet in one task; local edges, which need not, stay spread
