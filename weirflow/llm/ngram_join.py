@@ -31,14 +31,14 @@ PERCENT = 75
 #: Cells of the size sketch; a power of two.
 CELLS = 1024
 #: Documents that a task combines before it sends signatures on: bounds its memory together with the signatures.
-CHUNK_SIGNATURES = 1_500_000
+CHUNK_SIGNATURES = 800_000
 #: Characters of text whose sets are taken in one vectorised pass; a longer text goes alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Ids of documents to compare are broadcast up to this number, 16 MB; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: A group of a signature with more members than this is compared in tiles of about this many.
 TILE = 1024
-PAIRS_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 100_000
 
 
 def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
