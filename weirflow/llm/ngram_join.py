@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ PERCENT = 75
 CELLS = 1024
 #: Documents that a task combines before it sends signatures on: bounds its memory together with the signatures.
 CHUNK_SIGNATURES = 800_000
-#: Characters of text whose sets are taken in one vectorised pass; a longer text goes alone.
-CHUNK_CHARS = 500_000
+#: Bytes of text whose sets are taken in one vectorised pass; a longer text goes alone.
+CHUNK_BYTES = 500_000
 #: Ids of documents to compare are broadcast up to this number, 16 MB; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: A group of a signature with more members than this is compared in tiles of about this many.
@@ -51,14 +52,14 @@ def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
     return np.unique(h if width == WIDTH else mix(h + np.uint64(width)))
 
 
-def chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """doc_id and text of neighbouring rows, about CHUNK_CHARS characters at a time."""
-    ids, texts = batch["doc_id"].to_numpy(), [t or "" for t in batch["text"]]
-    part = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+def chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """doc_id and text of neighbouring rows, about CHUNK_BYTES of text at a time; only those become Python strings."""
+    ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]
     for lo, hi in itertools.pairwise(cuts):
         if hi > lo:
-            yield ids[lo:hi], texts[lo:hi]
+            yield ids[lo:hi], [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
 
 
 def shingle_sets(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -207,33 +208,36 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
     """For each signature that documents share, edges sig, x, y that make a tree of them; x is the lesser id. From the same
     pass over the texts a row for each document: x, the size of its set, a 128-bit fingerprint and the sketch."""
 
-    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(bucket: int, sigs: bytes, ids: bytes, owners: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in (sigs, ids, owners))], names=["bucket", "sigs", "ids", "owners"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         sigs: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         held = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             sig = np.concatenate(sigs)
             owner = np.concatenate(owners)
             s, o, (shared, x, y) = _runs(sig, owner)
             for k in range(0, len(x), 500_000):
                 at = slice(k, k + 500_000)
                 local = np.stack((_names(shared[at], buckets), x[at], y[at]), axis=1)
-                yield pd.DataFrame({"bucket": [-1], "sigs": [local.tobytes()], "ids": [b""], "owners": [b""]})
+                yield part(-1, local.tobytes(), b"", b"")
             bucket = _bucket(s, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
                 if hi > lo:
                     ids, index = np.unique(o[lo:hi], return_inverse=True)
-                    yield pd.DataFrame({"bucket": [b], "sigs": [s[lo:hi].view("<u8").astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()], "ids": [ids.tobytes()], "owners": [index.astype("<u4" if len(ids) > 65_535 else "<u2").tobytes()]})
+                    yield part(int(b), s[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ids.tobytes(), index.astype("<u4" if len(ids) > 65_535 else "<u2").tobytes())
 
         for batch in batches:
             for ids, texts in chunks(batch):
                 u, counts = shingle_sets(texts, hashes)
                 facts = np.stack((ids, counts, *fingerprints(u, counts)), axis=1)
-                yield pd.DataFrame({"bucket": [-2], "sigs": [sketches(u, counts).tobytes()], "ids": [facts.tobytes()], "owners": [b""]})
+                yield part(-2, sketches(u, counts).tobytes(), facts.tobytes(), b"")
                 sig, owner = signatures(u, counts)
                 sigs.append(sig)
                 owners.append(ids[owner])
@@ -273,7 +277,7 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
             _, _, (shared, x, y) = _runs(np.concatenate(sig) | np.uint64(bucket << 48), np.concatenate(owner))
             yield framed(shared.view(np.int64), x, y)
 
-    sent = docs.mapInPandas(combined, "bucket int, sigs binary, ids binary, owners binary")
+    sent = docs.select("doc_id", "text").mapInArrow(combined, "bucket int, sigs binary, ids binary, owners binary")
     # a bucket's rows meet in one task; local edges, which need not, stay spread
     spread = F.when(F.col("bucket") < 0, F.xxhash64("sigs", "ids")).otherwise(F.col("bucket").cast("long"))
     return sent.withColumn("spread", spread).repartition(shuffle_partitions(docs.sparkSession), "spread").drop("spread").mapInArrow(met, ROWS)
@@ -330,32 +334,34 @@ def fine_plausible(p: bytes, q: bytes, a: int, b: int) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """x, y of the pairs that are linked. Fine sketches go first; the whole sets only of pairs that those can't rule out."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             for ids, texts in chunks(b):
                 u, counts = shingle_sets(texts, hashes)
                 own = np.split(u, np.cumsum(counts)[:-1])
-                yield pd.DataFrame({"doc": ids, "n": counts, "fine": [fine_sketch(v) for v in own], "elements": [v.tobytes() for v in own]})
+                columns = [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array([fine_sketch(v) for v in own], pa.binary()), pa.array([v.tobytes() for v in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "fine", "elements"])
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [fine_plausible(*r) for r in zip(b["fine_x"], b["fine_y"], b["n_x"], b["n_y"], strict=True)]
             yield b.loc[ok, ["x", "y"]]
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for p, q in zip(b["elements_x"], b["elements_y"], strict=True):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            # the sets are read where they are, without a copy
+            for p, q in zip(b.column("elements_x"), b.column("elements_y"), strict=True):
+                u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                 at = np.searchsorted(v, u)
                 at[at == len(v)] = 0
                 ok.append(linked(int((v[at] == u).sum()), len(u), len(v)))
-            yield b.loc[ok, ["x", "y"]]
+            yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    found = stored(docs.join(side, "doc_id", "left_semi").mapInPandas(sets, "doc long, n long, fine binary, elements binary"), "shingle-sets")
+    found = stored(docs.join(side, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc long, n long, fine binary, elements binary"), "shingle-sets")
 
     def with_columns(of: DataFrame, columns: list[str]) -> DataFrame:
         for s in "yx":
@@ -363,7 +369,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return of
 
     close = stored(with_columns(pairs.select("x", "y"), ["n", "fine"]).mapInPandas(sift, PAIR), "close")
-    out = stored(with_columns(close, ["elements"]).mapInPandas(compare, PAIR), "linked")
+    out = stored(with_columns(close, ["elements"]).mapInArrow(compare, PAIR), "linked")
     discard(wanted, found, close)
     release_shuffles(docs.sparkSession)
     return out
