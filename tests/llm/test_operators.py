@@ -277,6 +277,23 @@ def test_language_id(spark, odd, empty):
     assert {(1, "und"), (2, "und"), (3, "und")} <= strange and langid.predict(odd, langid.learn(empty)).count() == len(ODD)
 
 
+def subword_counts(words):
+    return Counter(r for block in langid.blocks(words) for r in langid.subwords(*block)[0].tolist())
+
+
+def test_subwords_of_whole_words(monkeypatch):
+    long = "".join(chr(0x4E00 + 7 * k) for k in range(500))
+    words = ["a", long, "b" * 41, "été"]
+    marked = [len(f"<{w}>".encode()) for w in words]
+    want = subword_counts(words)
+    assert sum(want.values()) == sum(max(0, m - n + 1) for m in marked for n in langid.SUBWORDS)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    assert subword_counts(words) == want
+    table = np.random.default_rng(1).normal(size=(langid.ROWS, 2)).astype(np.float32)
+    total = sum((np.append(table[r], 1.0) * n for r, n in want.items()), np.zeros(3))
+    assert np.allclose(langid.WordSums(table).of(words), total, rtol=1e-4, atol=1e-2)
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.learn(docs, labels)

@@ -1,7 +1,7 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy.
 
-A text is the mean of the embeddings of its words' subwords (all runs of 3 or 4 bytes, with word ends marked), hashed into
-a fixed number of rows. As the classifier is linear, a subword's share of the logits is a table row, a word's a cached
+A text is the mean of the embeddings of its words' subwords (all runs of 3 or 4 bytes of whole words, with word ends marked), hashed
+into a fixed number of rows. As the classifier is linear, a subword's share of the logits is a table row, a word's a cached
 sum of rows, and scoring a text is one table lookup per word. A temperature fitted on the calibration part of the sample
 turns logits into probabilities; texts below the confidence at which that part reaches the wanted precision are rejected.
 """
@@ -25,6 +25,8 @@ from .sampling import held_out, per_class_sample
 SAMPLE_DOCS, SAMPLE_WORDS = 1_000, 40
 #: Lengths of subwords in bytes.
 SUBWORDS = (3, 4)
+#: Bytes of words that are hashed at once; words of over so many characters aren't kept in the cache.
+BLOCK, LONG = 1 << 18, 64
 ROWS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 16, 4, 32, 0.5
 PRECISION = 0.98
 UNKNOWN = "und"
@@ -38,15 +40,35 @@ def has_letter(text: str | None) -> bool:
 _MULTIPLIERS = (np.arange(1, 9, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of all words' subwords, and which word each is of."""
-    marked = [f"<{w[:40]}>".encode() for w in words]
-    sizes = np.asarray([len(m) for m in marked], np.int64)
-    text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
-    word, end = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+def blocks(words: list[str], most: int | None = None) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """Marked words in blocks of about ``most`` bytes: pieces, how many subwords of each length may start in a piece, and the word
+    it is of. A longer word is in several pieces that overlap, so each of its subwords starts in one of them."""
+    most, over = most or BLOCK, max(SUBWORDS) - 1
+    pieces, own, of, held = [], [], [], 0
+    for k, w in enumerate(words):
+        marked = f"<{w}>".encode()
+        for a in range(0, len(marked), most):
+            pieces.append(marked[a : a + most + over])
+            own.append(min(most, len(marked) - a))
+            of.append(k)
+            held += own[-1]
+            if held >= most:
+                yield pieces, own, of
+                pieces, own, of, held = [], [], [], 0
+    if pieces:
+        yield pieces, own, of
+
+
+def subwords(pieces: list[bytes], own: list[int], of_word: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all subwords of a block, and which word each is of."""
+    sizes = np.asarray([len(m) for m in pieces], np.int64)
+    text = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
+    end = np.cumsum(sizes)
+    word, last, end = np.repeat(np.asarray(of_word), sizes), np.repeat(end - sizes + own, sizes), np.repeat(end, sizes)
+    place = np.arange(len(text))
     rows, of = [], []
     for n in SUBWORDS:
-        at = np.flatnonzero(np.arange(len(text)) + n <= end)
+        at = np.flatnonzero((place < last) & (place + n <= end))
         h = np.full(len(at), n, np.uint32)
         for j in range(n):
             h = (h ^ text[at + j]) * _MULTIPLIERS[j]
@@ -122,12 +144,19 @@ class WordSums(dict):
         self.table, self.most = table, most
         self.sums = np.zeros((most, table.shape[1] + 1), np.float32)
 
+    def add(self, words: list[str], out: np.ndarray) -> None:
+        """Adds each word's share to its row of ``out``."""
+        for block in blocks(words):
+            rows, of = subwords(*block)
+            a, b = block[2][0], block[2][-1] + 1
+            for c in range(self.table.shape[1]):
+                out[a:b, c] += np.bincount(of - a, self.table[rows, c], b - a)
+            out[a:b, -1] += np.bincount(of - a, minlength=b - a)
+
     def learn(self, words: list[str]) -> None:
-        rows, of = subwords(words)
         k, n = len(self), len(words)
-        for c in range(self.table.shape[1]):
-            self.sums[k : k + n, c] = np.bincount(of, self.table[rows, c], n)
-        self.sums[k : k + n, -1] = np.bincount(of, minlength=n)
+        self.sums[k : k + n] = 0
+        self.add(words, self.sums[k : k + n])
         self.update(zip(words, range(k, k + n), strict=True))
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -135,6 +164,12 @@ class WordSums(dict):
         total = np.zeros(self.sums.shape[1])
         for k in range(0, len(words), 50_000):
             part = words[k : k + 50_000]
+            if long := [w for w in part if len(w) > LONG]:
+                part = [w for w in part if len(w) <= LONG]
+                for w in long:
+                    own = np.zeros((1, len(total)))
+                    self.add([w], own)
+                    total += own[0]
             if len(self) + len(part) > self.most:
                 self.clear()
             if new := [w for w in dict.fromkeys(part) if w not in self]:
@@ -149,7 +184,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = S
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [heapq.nsmallest(sample_words, set(t.lower().split()), key=lambda w: (xxhash.xxh32_intdigest(w, 5), w)) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"], "rows": [subwords(ws)[0].tolist() if ws else [] for ws in words]})
+            yield pd.DataFrame({"lang": b["lang"], "rows": [[r for block in blocks(ws) for r in subwords(*block)[0].tolist()] for ws in words]})
 
     rows = per_class_sample(docs.filter(~held_out(F.col("doc_id"))).filter("text is not null").select("doc_id", "text", "lang"), "lang", sample_docs)
     got = [(lang, np.asarray(r, np.int64)) for lang, r in rows.mapInPandas(bags, "lang string, rows array<int>").toLocalIterator()]
