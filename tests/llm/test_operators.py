@@ -294,6 +294,11 @@ def test_subwords_of_whole_words(monkeypatch):
     assert np.allclose(langid.WordSums(table).of(words), total, rtol=1e-4, atol=1e-2)
 
 
+def test_subword_lengths():
+    # <abcde>: five runs of 3, four of 4 and three of 5 bytes
+    assert sum(subword_counts(["abcde"]).values()) == 12
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.learn(docs, labels)

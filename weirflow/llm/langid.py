@@ -1,6 +1,6 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy.
 
-A text is the mean of the embeddings of its words' subwords (all runs of 3 or 4 bytes of whole words, with word ends marked), hashed
+A text is the mean of the embeddings of its words' subwords (all runs of 3 to 5 bytes of whole words, with word ends marked), hashed
 into a fixed number of rows. As the classifier is linear, a subword's share of the logits is a table row, a word's a cached
 sum of rows, and scoring a text is one table lookup per word. A temperature fitted on the calibration part of the sample
 turns logits into probabilities; texts below the confidence at which that part reaches the wanted precision are rejected.
@@ -24,7 +24,7 @@ from .sampling import held_out, per_class_sample
 #: The bound of the sample: documents of each language, and words of each document (by hash, over the whole text).
 SAMPLE_DOCS, SAMPLE_WORDS = 1_000, 40
 #: Lengths of subwords in bytes.
-SUBWORDS = (3, 4)
+SUBWORDS = (3, 4, 5)
 #: Bytes of words that are hashed at once; words of over so many characters aren't kept in the cache.
 BLOCK, LONG = 1 << 18, 64
 ROWS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 16, 4, 32, 0.5
