@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from weirflow.llm import decontam, forest, langid, linededup, ngram_join, packing, quality, secrets, sharding, tokenid, tokens, toxicity
+from weirflow.llm import decontam, forest, langid, linededup, ngram_join, packing, quality, sampling, secrets, sharding, tokenid, tokens, toxicity
 from weirflow.llm.common import WordHashes, documents
 from weirflow.llm.components import connected_components
 
@@ -299,6 +299,15 @@ def test_subword_lengths():
     assert sum(subword_counts(["abcde"]).values()) == 12
 
 
+def test_language_sample_holds_all_words_and_languages(spark):
+    text = " ".join(f"w{k % 90}" for k in range(200))
+    rows, counts = (np.frombuffer(x, kind) for x, kind in zip(langid.bag(text), (np.uint16, np.uint32), strict=True))
+    assert dict(zip(rows.tolist(), counts.tolist(), strict=True)) == subword_counts(text.split())
+    many = [(k, f"l{k % 510}") for k in range(1, 1531)]
+    chosen = sampling.per_class_sample(spark.createDataFrame(many, "doc_id long, lang string"), "lang", 1_000, 10_000)
+    assert chosen.select("lang").distinct().count() == 510
+
+
 def test_toxicity(spark, odd, empty):
     docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.learn(docs, labels)

@@ -8,26 +8,27 @@ turns logits into probabilities; texts below the confidence at which that part r
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 from .sampling import held_out, per_class_sample
 
-#: The bound of the sample: documents of each language, and words of each document (by hash, over the whole text).
-SAMPLE_DOCS, SAMPLE_WORDS = 1_000, 40
+#: The bound of the sample: documents of each language, and about so many in all (with many languages fewer of each, but all languages).
+#: Of each document all words count, as often as they occur.
+SAMPLE_DOCS, SAMPLE_ALL = 1_000, 10_000
 #: Lengths of subwords in bytes.
 SUBWORDS = (3, 4, 5)
 #: Bytes of words that are hashed at once; words of over so many characters aren't kept in the cache.
 BLOCK, LONG = 1 << 18, 64
 ROWS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 16, 4, 32, 0.5
+#: Steps of a training at least.
+LEAST_STEPS = 300
 PRECISION = 0.98
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -91,8 +92,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(bags: list[np.ndarray], labels: list[str], seed: int = 17) -> Model | None:
-    """bags: the subword rows of each text. A quarter of the texts calibrates, the others train. None without texts."""
+def bag(text: str) -> tuple[bytes, bytes]:
+    """The rows of a text's subwords, and how often each occurs."""
+    counts = np.zeros(ROWS, np.int64)
+    for block in blocks(text.lower().split()):
+        counts += np.bincount(subwords(*block)[0], minlength=ROWS)
+    rows = np.flatnonzero(counts)
+    return rows.astype(np.uint16).tobytes(), counts[rows].astype(np.uint32).tobytes()
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 17) -> Model | None:
+    """bags: the subword rows of each text and their counts. A quarter of the texts calibrates, the others train. None without texts."""
     if not bags:
         return None
     rng = np.random.default_rng(seed)
@@ -101,31 +111,35 @@ def train(bags: list[np.ndarray], labels: list[str], seed: int = 17) -> Model |
     order = rng.permutation(len(bags))
     n_cal = len(bags) // 4 if len(bags) >= 40 else 0
     cal, fit = order[:n_cal], order[n_cal:]
+    # a language with few texts trains on all of them, if chance leaves it none
+    missing = ~np.isin(y[cal], y[fit])
+    cal, fit = cal[~missing], np.concatenate((fit, cal[missing]))
+    n_cal = len(cal)
     emb = rng.normal(0, 0.1, (ROWS, DIM)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
-    steps, step = EPOCHS * -(-len(fit) // BATCH), 0
-    for _ in range(EPOCHS):
+    shares = [(n / n.sum(dtype=np.float64)).astype(np.float32) for _, n in bags]
+    # small samples are gone through more often
+    per_epoch = -(-len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         rng.shuffle(fit)
         for k in range(0, len(fit), BATCH):
             own = fit[k : k + BATCH]
-            flat = np.concatenate([bags[i] for i in own])
-            sizes = np.asarray([len(bags[i]) for i in own])
-            mean = np.add.reduceat(emb[flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes[:, None]
+            mean = np.stack([shares[i] @ emb[bags[i][0]] for i in own])
             grad = _softmax(mean @ weight + bias)
             grad[np.arange(len(own)), y[own]] -= 1
             rate = np.float32(RATE * (1 - step / steps))
-            back = (grad @ weight.T / sizes[:, None]).astype(np.float32)
+            back = (grad @ weight.T).astype(np.float32)
             weight -= rate / len(own) * mean.T @ grad
             bias -= rate / len(own) * grad.sum(axis=0)
-            rows, at = np.unique(flat, return_inverse=True)
-            change = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(change, at, np.repeat(back, sizes, axis=0))
-            emb[rows] -= rate * 10 * change
+            for i, change in zip(own, rate * 10 * back, strict=True):
+                emb[bags[i][0]] -= shares[i][:, None] * change
             step += 1
     table = (emb @ weight).astype(np.float32)
     model = Model(langs, table, bias.astype(np.float32), 1.0, 0.0)
     if n_cal:
-        z = np.stack([model.logits(table[bags[i]].sum(axis=0), len(bags[i])) for i in cal])
+        z = np.stack([model.logits(n @ table[rows], n.sum(dtype=np.float64)) for rows, n in (bags[i] for i in cal)])
         losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(n_cal), y[cal]], 1e-9)).mean() for t in np.geomspace(0.05, 10, 40)}
         model.temperature = float(min(losses, key=losses.get))
         p = _softmax(z / model.temperature)
@@ -141,8 +155,9 @@ class WordSums(dict):
 
     def __init__(self, table: np.ndarray, most: int = 300_000):
         super().__init__()
-        self.table, self.most = table, most
-        self.sums = np.zeros((most, table.shape[1] + 1), np.float32)
+        # with many languages fewer words, so that the sums take at most 256 MB
+        self.table, self.most = table, max(1_000, min(most, (1 << 26) // (table.shape[1] + 1)))
+        self.sums = np.zeros((self.most, table.shape[1] + 1), np.float32)
 
     def add(self, words: list[str], out: np.ndarray) -> None:
         """Adds each word's share to its row of ``out``."""
@@ -162,8 +177,9 @@ class WordSums(dict):
     def of(self, words: list[str]) -> np.ndarray:
         """The sum over all words, in parts, so that a long text can't overfill the table."""
         total = np.zeros(self.sums.shape[1])
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
+        size = min(50_000, self.most)
+        for k in range(0, len(words), size):
+            part = words[k : k + size]
             if long := [w for w in part if len(w) > LONG]:
                 part = [w for w in part if len(w) <= LONG]
                 for w in long:
@@ -178,18 +194,17 @@ class WordSums(dict):
         return total
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model | None:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """The model of docs(doc_id, text, lang) outside the held-out fold; null texts, langs and ids teach nothing."""
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [heapq.nsmallest(sample_words, set(t.lower().split()), key=lambda w: (xxhash.xxh32_intdigest(w, 5), w)) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"], "rows": [[r for block in blocks(ws) for r in subwords(*block)[0].tolist()] for ws in words]})
+            out = [(lang, *bag(t)) for lang, t in zip(b["lang"], b["text"], strict=True)]
+            yield pd.DataFrame(out, columns=["lang", "rows", "counts"])
 
-    rows = per_class_sample(docs.filter(~held_out(F.col("doc_id"))).filter("text is not null").select("doc_id", "text", "lang"), "lang", sample_docs)
-    got = [(lang, np.asarray(r, np.int64)) for lang, r in rows.mapInPandas(bags, "lang string, rows array<int>").toLocalIterator()]
-    got = sorted(((lang, r) for lang, r in got if len(r)), key=lambda x: (x[0], x[1].tobytes()))
-    return train([r for _, r in got], [lang for lang, _ in got])
+    rows = per_class_sample(docs.filter(~held_out(F.col("doc_id"))).filter("text is not null").select("doc_id", "text", "lang"), "lang", sample_docs, SAMPLE_ALL)
+    got = sorted(tuple(r) for r in rows.mapInPandas(bags, "lang string, rows binary, counts binary").toLocalIterator() if r[1])
+    return train([(np.frombuffer(r, np.uint16), np.frombuffer(n, np.uint32)) for _, r, n in got], [lang for lang, _, _ in got])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
