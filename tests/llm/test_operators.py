@@ -315,3 +315,18 @@ def test_toxicity(spark, odd, empty):
     hit = sum(r["predicted"] and r["toxic"] for r in got)
     assert hit >= 0.6 * sum(r["toxic"] for r in got) and hit >= 0.7 * sum(r["predicted"] for r in got)
     assert toxicity.score(odd, model).filter("score between 0 and 1").count() == len(ODD) and toxicity.learn(empty, labels) is None
+
+
+def test_toxicity_counts_all_pairs(spark):
+    texts = [("a b a b", 1), ("a b", 0), ("a b", 0), ("rare insult", 1), ("A b, c", 0)]
+    counts = toxicity.counted(spark.createDataFrame(texts, "text string, toxic int"))
+    got = {(r["v"], r["w"]): (r["n0"], r["n1"]) for r in counts.collect()}
+    assert got == {(None, "a"): (2, 1), (None, "b"): (2, 1), (None, "c"): (1, 0), (None, "rare"): (0, 1), (None, "insult"): (0, 1), ("a", "b"): (2, 1), ("b", "a"): (0, 1), ("b", "c"): (1, 0), ("rare", "insult"): (0, 1)}
+    model = toxicity.kneser_ney(counts)
+    assert model.keys.tolist() == [model.words["a"] * len(model.word_values) + model.words["b"]]
+
+
+def test_toxicity_counts_more_documents_than_it_calibrates_on(spark):
+    docs = spark.createDataFrame([(k, f"word{k} common {'insult' if k % 2 else 'praise'}", k % 2) for k in range(400)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs, docs.select("doc_id", "toxic"), 20)
+    assert sum(w.startswith("word") for w in model.words) > 230

@@ -15,16 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import discard, documents, stored
 from .sampling import held_out, per_class_sample
 
-#: The bound of the sample: about so many labelled documents of each class.
-SAMPLE_DOCS = 2_500
-#: What is taken from events of 0, 1, 2, and 3 or more documents; single documents say little. Pairs need so many documents.
+#: The bound of the calibration: about so many labelled documents of each class, at most a third. All others count.
+CALIBRATION_DOCS = 1_700
+#: What is taken from events of 0, 1, 2, and 3 or more documents; single documents say little. Pairs of fewer
+#: documents, counted over all of them, are discounted in full: they take the word's value (see REPLY_r01.md).
 DISCOUNTS, PAIR_DOCS = (0, 0.9, 1.5, 2.0), 3
+#: Word pairs that a task adds up before it hands them on.
+PAIRS_AT_ONCE = 200_000
 #: Words of the stretch whose mean evidence is largest, for each of these lengths.
 STRETCHES = (1, 4, 12)
 THRESHOLD = 0.3
@@ -94,18 +98,48 @@ class _Level:
         return tuple(max(0.0, (n := self.counts[c][event]) - DISCOUNTS[min(n, 3)]) / self.total[c] + self.spare[c] * lower[c] for c in (0, 1))
 
 
-def kneser_ney(texts: list[list[str]], labels: list[int]) -> Model:
-    """The models of tokenised texts, without calibration: pair -> word -> stems -> continuation counts that both classes share.
+def counted(docs: DataFrame) -> DataFrame:
+    """docs(text, toxic) -> v, w, n0, n1: in how many ordinary and toxic texts word w follows word v, or for a null v occurs.
 
     Events count once a document, and a text that is repeated counts once, so copies aren't evidence."""
-    word_n, pair_n = (Counter(), Counter()), (Counter(), Counter())
-    seen: set[tuple[int, int]] = set()
-    for words, label in zip(texts, labels, strict=True):
-        if (key := (label, hash(tuple(words)))) in seen:
-            continue
-        seen.add(key)
-        word_n[label].update(set(words))
-        pair_n[label].update(set(zip(words, words[1:], strict=False)))
+
+    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [" ".join(words_of(t)) for t in b["text"]]
+            yield pd.DataFrame({"toxic": b["toxic"], "same": [xxhash.xxh3_128_digest(t) for t in texts], "words": texts})
+
+    def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out() -> pd.DataFrame:
+            rows = [(v, w, held[0][v, w], held[1][v, w]) for v, w in held[0].keys() | held[1].keys()]
+            for c in held:
+                c.clear()
+            return pd.DataFrame(rows, columns=["v", "w", "n0", "n1"])
+
+        for b in batches:
+            for toxic, text in zip(b["toxic"], b["words"], strict=True):
+                words = text.split()
+                held[toxic].update({(None, w) for w in words})
+                held[toxic].update(set(zip(words, words[1:], strict=False)))
+                if len(held[0]) + len(held[1]) > PAIRS_AT_ONCE:
+                    yield out()
+        yield out()
+
+    texts = docs.select("toxic", "text").mapInPandas(tokenised, "toxic int, same binary, words string").dropDuplicates(["toxic", "same"])
+    return texts.select("toxic", "words").mapInPandas(events, "v string, w string, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def kneser_ney(counts: DataFrame) -> Model | None:
+    """The models of ``counted`` events, without calibration: pair -> word -> stems -> continuation counts that both classes share. The
+    pairs come to the driver as packed numbers. None without words of both classes."""
+    word_n: tuple[Counter, Counter] = (Counter(), Counter())
+    for w, *n in counts.filter("v is null").select("w", "n0", "n1").toLocalIterator():
+        for c in (0, 1):
+            if n[c]:
+                word_n[c][w] = n[c]
+    if not word_n[0] or not word_n[1]:
+        return None
     known = sorted(word_n[0].keys() | word_n[1].keys())
     stem_n: tuple[tuple[Counter, Counter], ...] = ((Counter(), Counter()), (Counter(), Counter()))
     kinds: tuple[Counter, Counter] = (Counter(), Counter())  # continuation counts: the words of both classes that have a stem
@@ -126,28 +160,30 @@ def kneser_ney(texts: list[list[str]], labels: list[int]) -> Model:
         p = words_level.probabilities(w, tuple(x / kinds[0][s] for x in of6[s]))
         word_p.append(p)
         values.append(math.log(p[1] / p[0]))
-    # pairs of several documents; the others back off
-    often = sorted(k for k in pair_n[0].keys() | pair_n[1].keys() if pair_n[0][k] + pair_n[1][k] >= PAIR_DOCS)
-    context: tuple[Counter, Counter] = (Counter(), Counter())
-    spared: tuple[Counter, Counter] = (Counter(), Counter())
+    shared = counts.sparkSession.sparkContext.broadcast(ids)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = shared.value.__getitem__
+        for b in batches:
+            yield pd.DataFrame({"pairs": [np.column_stack((b["v"].map(get), b["w"].map(get), b["n0"], b["n1"])).astype(np.int32).tobytes()]})
+
+    got = b"".join(r[0] for r in counts.filter("v is not null").mapInPandas(packed, "pairs binary").toLocalIterator())
+    shared.destroy()
+    v, w, *own = np.frombuffer(got, np.int32).reshape(-1, 4).T
+    n, p = len(values), []
+    word_p, taken = np.asarray(word_p), np.asarray(DISCOUNTS)
     for c in (0, 1):
-        for (v, _), n in pair_n[c].items():
-            context[c][v] += n
-            spared[c][v] += min(n, DISCOUNTS[min(n, 3)])
-    n = len(values)
-    keys, pair_values = [], []
-    for v, w in often:
-        p = [((m := pair_n[c][v, w]) - min(m, DISCOUNTS[min(m, 3)]) + spared[c][v] * word_p[ids[w]][c]) / context[c][v] if context[c][v] else word_p[ids[w]][c] for c in (0, 1)]
-        keys.append(ids[v] * n + ids[w])
-        pair_values.append(math.log(p[1] / p[0]))
-    keys, pair_values = np.asarray(keys, np.int64), np.asarray(pair_values, float)
+        less = np.minimum(own[c], taken[np.minimum(own[c], 3)])
+        context, spared = np.bincount(v, own[c], n)[v], np.bincount(v, less, n)[v]
+        p.append(np.where(context > 0, (own[c] - less + spared * word_p[w, c]) / np.maximum(context, 1), word_p[w, c]))
+    keys, pair_values = v.astype(np.int64) * n + w, np.log(p[1] / p[0])
     order = np.argsort(keys)
-    return Model(ids, np.asarray(values), stem_values, keys[order], pair_values[order])
+    order = order[(own[0] + own[1])[order] >= PAIR_DOCS]
+    return Model(ids, np.asarray(values), stem_values, keys[order], pair_values[order].astype(np.float32))
 
 
-def calibrate(model: Model, texts: list[list[str]], labels: list[int], prior: float) -> None:
-    """Logistic regression on texts that the counts haven't seen, weighted to the share ``prior`` of toxic documents."""
-    x, y = np.stack([model.features(t) for t in texts]), np.asarray(labels, float)
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
+    """Logistic regression on the features of texts that the counts haven't seen, weighted to the share ``prior`` of toxic documents."""
     model.center, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.column_stack(((x - model.center) / model.scale, np.ones(len(x))))
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -164,26 +200,34 @@ def calibrate(model: Model, texts: list[list[str]], labels: list[int], prior: fl
     model.weights = w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """The model of labelled documents outside the held-out fold; two thirds of the sample count, the others calibrate. A document
-    with both labels counts as toxic. None without documents of both classes."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def learn(docs: DataFrame, labels: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Model | None:
+    """The model of labelled documents outside the held-out fold: a bounded sample, at most a third, calibrates, and all others count.
+    A document with both labels counts as toxic. None without documents of both classes in both parts."""
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).filter("toxic in (0, 1)")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
-    chosen = per_class_sample(known, "toxic", sample_docs)
-    # the sample is bounded, its texts aren't: they come one by one
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "text")
-    parts: tuple[tuple[list, list], ...] = (([], []), ([], []))
-    for k, (_, toxic, text) in enumerate(rows.toLocalIterator(prefetchPartitions=True)):
-        own = parts[k % 3 == 2]
-        own[0].append(words_of(text))
-        own[1].append(int(toxic))
-    if not all(set(p[1]) == {0, 1} for p in parts):
+    third = known.filter(F.pmod(F.xxhash64(F.lit(43), "doc_id"), F.lit(3)) == 2)
+    chosen = stored(per_class_sample(third, "toxic", calibration_docs), "calibration")
+    texts = docs.filter("text is not null").select("doc_id", "text")
+    events = stored(counted(texts.join(known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti"), "doc_id")), "toxicity-counts")
+    model = kneser_ney(events)
+    if model is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "x": [shared.value.features(words_of(t)).tolist() for t in b["text"]]})
+
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(features, "toxic int, x array<double>").collect()
+    shared.destroy()
+    discard(events, chosen)
+    if {r[0] for r in rows} != {0, 1}:
         return None
-    model = kneser_ney(*parts[0])
-    calibrate(model, *parts[1], prior=counts[1] / sum(counts.values()))
+    rows = sorted((r[0], r[1]) for r in rows)
+    calibrate(model, np.asarray([x for _, x in rows]), np.asarray([y for y, _ in rows], float), prior=counts[1] / sum(counts.values()))
     return model
 
 
