@@ -210,6 +210,15 @@ def test_sketches_rule_out_no_linked_pair():
                 assert ngram_join.fine_plausible(ngram_join.fine_sketch(a), ngram_join.fine_sketch(b), len(a), len(b))
 
 
+def test_across_compares_every_text_of_a_repeated_doc_id(spark):
+    rng = np.random.default_rng(7)
+    long, short = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (90, 3))
+    row = lambda doc, f, u: (1, doc, f, f, doc, len(u), ngram_join.sketches(u, np.asarray([len(u)]))[0].tobytes())
+    for rows in ([row(5, 1, short), row(5, 2, long), row(3, 3, long)], [row(5, 2, long), row(5, 1, short), row(3, 3, long)]):
+        members = spark.createDataFrame(rows, "sig long, doc long, f1 long, f2 long, component long, n_shingles long, sketch binary")
+        assert [tuple(r) for r in ngram_join.across(members.coalesce(1)).collect()] == [(3, 5)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(k, k + 1) for k in range(400, 460)]

@@ -376,8 +376,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """members(sig, doc, component, n_shingles, sketch) -> x, y: documents of one signature and different components that
-    their sketches don't rule out. A signature with many members is dealt out in tiles, any two of which meet once."""
+    """members(sig, doc, f1, f2, component, n_shingles, sketch) -> x, y: documents of one signature and different components
+    that the sketches of some of their texts don't rule out. A signature with many members is dealt out in tiles, any two of which meet once."""
     large = members.groupBy("sig").count().filter(F.col("count") > TILE).select("sig", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     dealt = members.join(large, "sig", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
@@ -396,7 +396,10 @@ def across(members: DataFrame) -> DataFrame:
             g = held.iloc[:whole]
             if not whole:
                 continue
-            docs, first, who = np.unique(g["doc"].to_numpy(), return_index=True, return_inverse=True)
+            # a doc_id may have several texts, each with a size and a sketch
+            who = g.groupby(["doc", "f1", "f2"], sort=False).ngroup().to_numpy()
+            first = np.unique(who, return_index=True)[1]
+            docs = g["doc"].to_numpy()[first]
             sk, size, tile, split = _sketches(g["sketch"].iloc[first]), g["n_shingles"].to_numpy()[first], g["tile"].to_numpy(), (g["t1"] != g["t2"]).to_numpy()
             # a row meets those of its group that come after its component
             ends, c = np.repeat(starts[1:], np.diff(starts))[:whole], g["component"].to_numpy()
@@ -418,11 +421,12 @@ def across(members: DataFrame) -> DataFrame:
                 u, v = pair >> 32, pair & 0xFFFFFFFF
                 ok = plausible(sk[u], sk[v], size[u], size[v])
                 if ok.any():
-                    yield pd.DataFrame({"x": docs[u[ok]], "y": docs[v[ok]]})
+                    x, y = docs[u[ok]], docs[v[ok]]
+                    yield pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)})
                 done = int(block[-1]) + 1
 
     keys = ["sig", "t1", "t2"]
-    return dealt.select(*keys, "tile", "doc", "component", "n_shingles", "sketch").repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "component").mapInPandas(rows, PAIR).distinct()
+    return dealt.select(*keys, "tile", "doc", "f1", "f2", "component", "n_shingles", "sketch").repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "component").mapInPandas(rows, PAIR).distinct()
 
 
 def _labelled(df: DataFrame, components: DataFrame, node: str, label: str) -> DataFrame:
@@ -470,7 +474,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # the rest: all members across components
     members = _labelled(members, found, "doc", "component")
     several = members.groupBy("sig").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("sig")
-    members = members.join(several, "sig", "left_semi").join(desc.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch"), "doc")
+    members = members.join(several, "sig", "left_semi").join(desc.select(F.col("doc_id").alias("doc"), "f1", "f2", "n_shingles", "sketch"), "doc")
     tried = first.select("x", "y").unionByName(second.select("x", "y"))
     more = stored(across(members).join(tried, ["x", "y"], "left_anti"), "pairs")
     if not more.isEmpty():
