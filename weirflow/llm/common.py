@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 
@@ -23,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session, ``spark.checkpoint.dir``; where unset (single-machine tests) a temporary one."""
+    """The shared folder of the session, ``spark.checkpoint.dir``. Where it is unset, a temporary folder if all runs on this machine, else an error."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,11 +36,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for deleting a query's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors. The shuffle files of the
+    write go with its end."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,16 +62,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop shuffle files of plans that are no longer referenced."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+#: Bytes of input files for each task of a shuffle by number.
+TASK_BYTES = 16 << 20
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shuffle_partitions(df: DataFrame) -> int:
+    """Tasks of a shuffle over what is made of ``df``: the session's number, more where the files that ``df`` reads are large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 1 << 15))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

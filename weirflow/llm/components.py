@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,5 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         chained = not edges.join(heads, "u", "left_semi").isEmpty()
         if not chained and edges.groupBy("u").count().filter("count > 1").isEmpty():
             break
-        edges = stored(_star(stored(_star(edges, True), "edges"), False), "edges")
+        wide = stored(_star(edges, True), "edges")
+        discard(edges)
+        edges = stored(_star(wide, False), "edges")
+        discard(wide)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,7 +8,10 @@ what a set holds there is its signature. No linked pair is missed; what else sha
 Skew. Each task first combines its own documents: of those that share a signature only the least goes on, the others
 become an edge to it. So a signature that a third of all documents share costs a row for each task, and its members
 form a tree, not pairs. Trees are verified edge by edge. Only where a tree still joins different components (documents
-that share a signature and aren't alike) its members are compared across components, after a size sketch.
+that share a signature and aren't alike) its members are compared across components, and of those only members that can
+still have a partner: a linked pair agrees in so many partitions that both share a known number of signatures. A document that
+holds fewer in such trees is out, and of the others' signatures the most frequent, one fewer than that number, say nothing
+that the rarer ones don't; so a passage that many documents have doesn't make them meet.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, documents, mix, release_shuffles, shuffle_partitions, stored, window_hashes
+from .common import WordHashes, discard, documents, mix, shuffle_partitions, stored, window_hashes
 from .components import connected_components
 
 WIDTH = 5
@@ -127,11 +130,12 @@ class Instance:
         self.agreeing = self.cells - k // (self.miss + 1)
         self.seed = mix(np.asarray([band + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
         names = np.arange(1, self.cells * len(self.choices) + 1, dtype=np.uint64).reshape(self.cells, -1)
-        self.names = mix(names + self.seed)
+        self.names, self.odd = mix(names + self.seed), np.uint64(band & 1)
 
-    def signatures(self, u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """u: ascending hashes of each set in turn. Signatures and the place of their set. A part is a range of hashes,
-        so the elements of one are neighbours."""
+    def signatures(self, u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """u: ascending hashes of each set in turn. Signatures, the place of their set, and how many of its signatures a set
+        shares at least with any set linked to it. A part is a range of hashes, so the elements of one are neighbours. The last
+        bit of a signature tells instances of neighbouring bands apart."""
         wide = self.cells * self.parts
         part = ((u >> np.uint64(32)) * np.uint64(wide)) >> np.uint64(32)
         slot = part.astype(np.int64) + np.repeat(np.arange(len(counts)) * wide, counts)
@@ -140,27 +144,31 @@ class Instance:
         full[slot[first]] = np.add.reduceat(mix(u ^ self.seed), first)
         held = full.reshape(len(counts), self.cells, self.parts)[:, :, self.choices]
         out, some = mix(held.sum(axis=3, dtype=np.uint64) + self.names), (held != 0).any(axis=3)
+        out = (out & ~np.uint64(1)) | self.odd
         # Empty choices say nothing, unless this set has so many that a partner might agree with it on those only.
-        some |= (self.agreeing <= (~some).any(axis=2).sum(axis=1))[:, None, None]
-        return out[some], np.repeat(np.arange(len(counts)), some.sum(axis=(1, 2)))
+        sure = self.agreeing - (~some).any(axis=2).sum(axis=1)
+        some |= (sure <= 0)[:, None, None]
+        return out[some], np.repeat(np.arange(len(counts)), some.sum(axis=(1, 2))), np.maximum(sure, 1)
 
 
 _INSTANCES: dict[int, Instance] = {}
 
 
-def signatures(u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of sets given one after another, and the place of each one's set; a set may repeat one."""
+def signatures(u: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of sets given one after another, the place of each one's set (a set may repeat one), and for each set
+    how many even and odd ones it shares at least with a set that is linked to it in the instance of that kind."""
     band = np.where(counts > 0, np.searchsorted(_TOPS, counts), -2)
+    needs = np.ones((len(counts), 2), np.int64)
     sigs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     held = np.unique(band[band >= 0])
     for b in np.unique(np.concatenate((held, held[held > 0] - 1))).tolist():
         if b not in _INSTANCES:
             _INSTANCES[b] = Instance(b)
         of = (band == b) | (band == b + 1)
-        sig, owner = _INSTANCES[b].signatures(u[np.repeat(of, counts)], counts[of])
+        sig, owner, needs[of, b & 1] = _INSTANCES[b].signatures(u[np.repeat(of, counts)], counts[of])
         sigs.append(sig)
         owners.append(np.flatnonzero(of)[owner])
-    return np.concatenate(sigs), np.concatenate(owners)
+    return np.concatenate(sigs), np.concatenate(owners), needs
 
 
 def sketches(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -200,13 +208,16 @@ def _names(sig: np.ndarray, buckets: int) -> np.ndarray:
 
 
 #: An edge of a signature's tree, or (sketch isn't null) the description of document x.
-ROWS = "sig long, x long, y long, n_shingles long, f1 long, f2 long, sketch binary"
-ROW_TYPES = [pa.int64()] * 6 + [pa.binary()]
+ROWS = "sig long, x long, y long, n_shingles long, f1 long, f2 long, even long, odd long, sketch binary"
+ROW_TYPES = [pa.int64()] * 8 + [pa.binary()]
 
 
-def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
+def signature_trees(docs: DataFrame, tasks: int) -> DataFrame:
     """For each signature that documents share, edges sig, x, y that make a tree of them; x is the lesser id. From the same
-    pass over the texts a row for each document: x, the size of its set, a 128-bit fingerprint and the sketch."""
+    pass over the texts a row for each document: x, the size of its set, a 128-bit fingerprint, the numbers of even and odd
+    signatures that it shares with a linked one, and the sketch."""
+
+    buckets = min(3 * tasks, 1 << 15)
 
     def part(bucket: int, sigs: bytes, ids: bytes, owners: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in (sigs, ids, owners))], names=["bucket", "sigs", "ids", "owners"])
@@ -236,9 +247,9 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for ids, texts in chunks(batch):
                 u, counts = shingle_sets(texts, hashes)
-                facts = np.stack((ids, counts, *fingerprints(u, counts)), axis=1)
+                sig, owner, needs = signatures(u, counts)
+                facts = np.stack((ids, counts, *fingerprints(u, counts), *needs.T), axis=1)
                 yield part(-2, sketches(u, counts).tobytes(), facts.tobytes(), b"")
-                sig, owner = signatures(u, counts)
                 sigs.append(sig)
                 owners.append(ids[owner])
                 held += len(sig)
@@ -248,8 +259,8 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def framed(sig, x, y, n=None, f1=None, f2=None, sketch=None) -> pa.RecordBatch:
-        made = zip((sig, x, y, n, f1, f2, sketch), ROW_TYPES, strict=True)
+    def framed(sig, x, y, n=None, f1=None, f2=None, even=None, odd=None, sketch=None) -> pa.RecordBatch:
+        made = zip((sig, x, y, n, f1, f2, even, odd, sketch), ROW_TYPES, strict=True)
         return pa.RecordBatch.from_arrays([pa.nulls(len(x), t) if v is None else pa.array(v, t) for v, t in made], names=[c.split()[0] for c in ROWS.split(", ")])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +268,7 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for bucket, s, ids, o in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sigs", "ids", "owners")), strict=True):
                 if bucket == -2:
-                    facts = np.frombuffer(ids, np.int64).reshape(-1, 4)
+                    facts = np.frombuffer(ids, np.int64).reshape(-1, 6)
                     yield framed(None, facts[:, 0], None, *facts[:, 1:].T, [s[k : k + CELLS // 8] for k in range(0, len(s), CELLS // 8)])
                 elif bucket == -1:
                     local = np.frombuffer(s, np.int64).reshape(-1, 3)
@@ -280,7 +291,7 @@ def signature_trees(docs: DataFrame, buckets: int) -> DataFrame:
     sent = docs.select("doc_id", "text").mapInArrow(combined, "bucket int, sigs binary, ids binary, owners binary")
     # a bucket's rows meet in one task; local edges, which need not, stay spread
     spread = F.when(F.col("bucket") < 0, F.xxhash64("sigs", "ids")).otherwise(F.col("bucket").cast("long"))
-    return sent.withColumn("spread", spread).repartition(shuffle_partitions(docs.sparkSession), "spread").drop("spread").mapInArrow(met, ROWS)
+    return sent.withColumn("spread", spread).repartition(tasks, "spread").drop("spread").mapInArrow(met, ROWS)
 
 
 PAIR = "x long, y long"
@@ -371,11 +382,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     close = stored(with_columns(pairs.select("x", "y"), ["n", "fine"]).mapInPandas(sift, PAIR), "close")
     out = stored(with_columns(close, ["elements"]).mapInArrow(compare, PAIR), "linked")
     discard(wanted, found, close)
-    release_shuffles(docs.sparkSession)
     return out
 
 
-def across(members: DataFrame) -> DataFrame:
+def across(members: DataFrame, tasks: int | None = None) -> DataFrame:
     """members(sig, doc, f1, f2, component, n_shingles, sketch) -> x, y: documents of one signature and different components
     that the sketches of some of their texts don't rule out. A signature with many members is dealt out in tiles, any two of which meet once."""
     large = members.groupBy("sig").count().filter(F.col("count") > TILE).select("sig", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
@@ -426,7 +436,7 @@ def across(members: DataFrame) -> DataFrame:
                 done = int(block[-1]) + 1
 
     keys = ["sig", "t1", "t2"]
-    return dealt.select(*keys, "tile", "doc", "f1", "f2", "component", "n_shingles", "sketch").repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "component").mapInPandas(rows, PAIR).distinct()
+    return dealt.select(*keys, "tile", "doc", "f1", "f2", "component", "n_shingles", "sketch").repartition(tasks or shuffle_partitions(members), *keys).sortWithinPartitions(*keys, "component").mapInPandas(rows, PAIR).distinct()
 
 
 def _labelled(df: DataFrame, components: DataFrame, node: str, label: str) -> DataFrame:
@@ -434,55 +444,106 @@ def _labelled(df: DataFrame, components: DataFrame, node: str, label: str) -> Da
     return df.join(own, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_component", node)).drop("_node", "_component")
 
 
+#: What a row's document must share of its signature's kind.
+NEED = "CASE WHEN sig % 2 = 0 THEN even ELSE odd END"
+
+
+def narrowed(members: DataFrame) -> DataFrame:
+    """members(sig, weight, doc, component, even, odd) without what can't be shared with a linked document of another component: documents
+    that hold fewer signatures of a kind than they would share, then signatures of one component. Adds n, the documents of a signature."""
+    own = Window.partitionBy("doc", F.col("sig").bitwiseAND(1))
+    able = members.withColumn("_held", F.sum("weight").over(own)).filter(F.col("_held") >= F.expr(NEED)).drop("_held")
+    open_sigs = able.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("sig", "n")
+    return able.join(open_sigs, "sig")
+
+
+def same_members(members: DataFrame) -> DataFrame:
+    """One signature, its least, for all of a kind that have the same documents, and their number as weight."""
+    sets = members.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "doc")).alias(f"h{seed}") for seed in (1, 2)])
+    return sets.groupBy("n", "h1", "h2", F.col("sig").bitwiseAND(1)).agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight")
+
+
+def thinned(members: DataFrame) -> DataFrame:
+    """members(..., n) without the most frequent signatures of each document, one fewer than it shares with a linked one: under one order
+    for all documents, the rarest signature that both share stays with both."""
+    order = Window.partitionBy("doc", F.col("sig").bitwiseAND(1)).orderBy(F.desc("n"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    return members.withColumn("_rank", F.sum("weight").over(order)).filter(F.col("_rank") >= F.expr(NEED)).drop("_rank", "n")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id: the least doc_id reachable by links, its own without any.
 
     A null, empty or blank text has no shingles and no link. Rows without doc_id are left out. Rows with an equal doc_id are
     one document, linked with whatever one of its texts is linked with. Other columns are ignored."""
-    spark = docs.sparkSession
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    both = stored(signature_trees(docs, min(3 * shuffle_partitions(spark), 1 << 15)), "trees")
-    release_shuffles(spark)
-    desc = stored(both.filter("sketch is not null").select(F.col("x").alias("doc_id"), "n_shingles", "f1", "f2", "sketch"), "described")
+    tasks = shuffle_partitions(docs)
+    both = stored(signature_trees(docs, tasks), "trees")
+    desc = stored(both.filter("sketch is not null").select(F.col("x").alias("doc_id"), "n_shingles", "f1", "f2", "even", "odd", "sketch"), "described")
     trees = both.filter("y is not null").select("sig", "x", "y")
+    # equal sets are linked with the least document that has them, which stands for all from the second round on
+    same = ["f1", "f2", "n_shingles"]
+    kinds = stored(desc.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("even", "odd", "sketch")]), "kinds")
+    copies = desc.join(kinds.filter("rows > 1").select(*same, "doc"), same).select(F.col("doc").alias("x"), F.col("doc_id").alias("y")).filter("x <> y")
 
     edges = stored(trees.select("x", "y").distinct(), "tree-pairs")
     first = stored(sifted(edges, desc), "pairs")
-    links = stored(verified(docs, first.filter("not same")).unionByName(first.filter("same").select("x", "y")), "links")
-    found = stored(connected_components(links), "components")
-    release_shuffles(spark)
+    close = verified(docs, first.filter("not same"))
+    found = connected_components(close.unionByName(copies))
+    discard(close)
 
-    # trees that still join different components, each set of members once
+    # trees that still join different components
     unlike = _labelled(_labelled(edges, found, "x", "cx"), found, "y", "cy").filter("cx <> cy").select("x", "y")
     open_sigs = stored(trees.join(unlike, ["x", "y"], "left_semi").select("sig").distinct(), "open")
-    every = stored(trees.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("x", "y")).alias("doc")).distinct(), "members")
-    sets = every.groupBy("sig").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "doc")).alias(f"h{seed}") for seed in (1, 2)]).filter("n > 2")
-    once = sets.groupBy("n", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    members = stored(every.join(once, "sig", "left_semi"), "members")
-    discard(both, edges, open_sigs, every)
-    release_shuffles(spark)
+    needs = kinds.groupBy("doc").agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    every = trees.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("x", "y")).alias("doc")).distinct()
+    every = stored(every.join(needs, "doc"), "members")
+    discard(both, edges, open_sigs)
+    members = stored(_labelled(every.join(same_members(every), "sig"), found, "doc", "component"), "members")
+    discard(every)
+    members = _narrowed(members)
 
     # a document of each component with one of another, chosen anew for each signature: merges groups of copies whose leader was far off
-    reps = _labelled(members, found, "doc", "component").groupBy("sig", "component").agg(F.min_by("doc", F.xxhash64("sig", "doc")).alias("rep"))
+    reps = members.groupBy("sig", "component").agg(F.min_by("doc", F.xxhash64("sig", "doc")).alias("rep"))
     hubs = reps.groupBy("sig").agg(F.min_by("rep", F.xxhash64("sig", "rep")).alias("hub"))
     again = reps.join(hubs, "sig").select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).filter("x <> y").distinct()
     second = stored(sifted(again.join(first, ["x", "y"], "left_anti"), desc), "pairs")
-    links = stored(verified(docs, second).unionByName(found.select(F.col("component").alias("x"), F.col("node").alias("y"))), "links")
-    found = stored(connected_components(links), "components")
-    release_shuffles(spark)
-
-    # the rest: all members across components
-    members = _labelled(members, found, "doc", "component")
-    several = members.groupBy("sig").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("sig")
-    members = members.join(several, "sig", "left_semi").join(desc.select(F.col("doc_id").alias("doc"), "f1", "f2", "n_shingles", "sketch"), "doc")
+    found, members = _merged(docs, second, found), members.drop("component", "n")
+
+    # the rest: all that can still be linked across components, each set of members once
+    members = _narrowed(stored(_labelled(members, found, "doc", "component"), "members"), members)
+    thin = stored(thinned(members), "members")
+    discard(members)
+    several = thin.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
+    once = same_members(thin).select("sig").join(several, "sig")
+    thin_once = thin.join(once, "sig", "left_semi").join(kinds.select("doc", *same, "sketch"), "doc")
     tried = first.select("x", "y").unionByName(second.select("x", "y"))
-    more = stored(across(members).join(tried, ["x", "y"], "left_anti"), "pairs")
+    more = stored(across(thin_once, tasks).join(tried, ["x", "y"], "left_anti"), "pairs")
+    discard(thin, kinds, first, second)
     if not more.isEmpty():
-        links = stored(verified(docs, more).unionByName(found.select(F.col("component").alias("x"), F.col("node").alias("y"))), "links")
-        found = stored(connected_components(links), "components")
+        found = _merged(docs, more, found)
     return _labelled(desc.select("doc_id", "n_shingles"), found, "doc_id", "component_id")
 
 
+def _narrowed(members: DataFrame, *used: DataFrame) -> DataFrame:
+    """``narrowed`` until a turn takes little away (what is left is compared); ``members``, a stored table, and ``used`` are deleted."""
+    before = members.count()
+    while True:
+        less = stored(narrowed(members.drop("n")), "members")
+        discard(members, *used)
+        members, used, after = less, (), less.count()
+        if after > 0.9 * before:
+            return members
+        before = after
+
+
+def _merged(docs: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The components that the linked ones of ``pairs`` make of those ``found`` before, which are deleted."""
+    close = verified(docs, pairs.select("x", "y"))
+    merged = connected_components(close.unionByName(found.select(F.col("component").alias("x"), F.col("node").alias("y"))))
+    discard(close, found)
+    return merged
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir))
 
