@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from tokenizers import Tokenizer
 from weirflow.llm import decontam, forest, langid, linededup, ngram_join, packing, quality, sampling, secrets, sharding, tokenid, tokens, toxicity
 from weirflow.llm.common import WordHashes, documents
 from weirflow.llm.components import connected_components
@@ -45,9 +46,17 @@ def ascii_lower(text):
 
 @pytest.mark.parametrize(("kind", "name"), [(tokens.WordBpe, "word_bpe_49k.json"), (tokens.ByteBpe, "byte_bpe_50k.json")])
 def test_encoders_equal_the_tokenizer(texts, kind, name):
-    e = kind(public_tokenizers.path(name), most=500)
-    for t in [*texts.values(), *(t for _, t in ODD if t), "a  b", " a", "a\n\nb", "I'm. it's", "İ ς ́x", "x\x1cy", "12 ½", "日本 語"]:
-        assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    e, fresh = kind(public_tokenizers.path(name), most=500), Tokenizer.from_file(public_tokenizers.path(name))
+    rng = random.Random(1)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", " ", "\n", "  ", "\t", "word", "Word.", "x,", "é", "9", "½", "'s", "\u00a0", "_"]
+    mixed = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)]
+    for t in [*texts.values(), *mixed, *(t for _, t in ODD if t), "a  b", " a", "a\n\nb", "I'm. it's", "İ ς ́x", "x\x1cy", "12 ½", "日本 語", "a <|endoftext|> b"]:
+        assert e.encode(t) == np.asarray(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_control_strings_are_control_ids():
+    assert tokens.WordBpe(public_tokenizers.path("word_bpe_49k.json")).encode("a <|endoftext|> b") == np.asarray([320, 49407, 321], "<u4").tobytes()
+    assert 50256 in np.frombuffer(tokens.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")).encode("a <|endoftext|> b"), "<u4")
 
 
 @pytest.mark.parametrize("vocabulary", [2, 100, 49_408, 70_000])
@@ -286,6 +295,10 @@ def test_language_id(spark, odd, empty):
     assert {(1, "und"), (2, "und"), (3, "und")} <= strange and langid.predict(odd, langid.learn(empty)).count() == len(ODD)
 
 
+def test_letters():
+    assert not langid.has_letter("½ ²") and not langid.has_letter("१२ _") and not langid.has_letter(None) and langid.has_letter("12ª") and langid.has_letter("." * 10_000 + "é")
+
+
 def subword_counts(words):
     return Counter(r for block in langid.blocks(words) for r in langid.subwords(*block)[0].tolist())
 

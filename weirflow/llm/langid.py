@@ -8,7 +8,6 @@ turns logits into probabilities; texts below the confidence at which that part r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +30,10 @@ ROWS, DIM, EPOCHS, BATCH, RATE = 1 << 16, 16, 4, 32, 0.5
 LEAST_STEPS = 300
 PRECISION = 0.98
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 _MULTIPLIERS = (np.arange(1, 9, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)

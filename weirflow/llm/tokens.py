@@ -3,7 +3,8 @@
 Both vocabularies used here split text before merging bytes, and never merge across those splits. So a text is cut
 into chunks at single spaces, where a split is certain, and a bounded cache maps a chunk to the bytes of its ids.
 Chunks that are one plain word go straight to the tokenizer's BPE model; all others through the whole tokenizer.
-``encode`` therefore equals ``Tokenizer.encode(text, add_special_tokens=False)``; tests compare them.
+``encode`` therefore equals ``Tokenizer.encode(text, add_special_tokens=False)`` of the vocabulary as it is, control strings that
+a text holds included: none of them has a space in it or takes those beside it. Tests compare them.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ class _Chunks(dict):
         super().__init__()
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a document can't forge a control id
         self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
