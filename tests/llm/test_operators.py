@@ -256,6 +256,28 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contaminated(empty, table).count() == 0 and decontam.contaminated(docs, table.limit(0)).count() == 0
 
 
+def test_decontamination_tells_texts_of_an_item_apart(spark):
+    table = spark.createDataFrame([(1, "a b c d e f g h"), (1, "s t u v w x y z")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f . s t u v w x"), (2, "s t u v w x y z"), (2, "s t u v w x y z")], "doc_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, table).collect()] == [(2, 1, 4, 4)]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", most)
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice((1, 3, 5, 6, 9, 17, 40, 90))))) for k in range(60)]
+    docs = []
+    for k in range(150):
+        own = [w if rng.random() > 0.03 else "other" for _, t in rng.sample(items, 2) for w in t.split()]
+        docs.append((k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 200)) + own)))
+    sets, bench = brute_sets(docs), brute_sets(items)
+    want = {(i, j, len(d & b), len(b)) for i, (d,) in sets.items() for j, (b,) in bench.items() if b and 100 * len(d & b) >= 75 * len(b)}
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+
+
 def test_sharding(spark, odd, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"), least_bytes=100_000)
     for _ in range(9):
