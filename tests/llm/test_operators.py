@@ -111,21 +111,33 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def base_failed(text):
+    w = words(text)
+    spans = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    rep = {k + j for k in range(len(w) - 7) if spans[tuple(w[k : k + 8])] > 1 for j in range(8)}
+    return len(w) < 20 or 100 * len(rep) > 30 * len(w), len(rep)
+
+
 def brute_quality(rows, max_docs, min_left):
-    host_lines, out = defaultdict(set), []
+    """The counts and verdict of each row, and its text without the lines that go."""
+    host_lines, out, key = defaultdict(set), [], lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
     for i, t, host in rows:
         for line in (t or "").split("\n"):
             if len(words(line)) >= quality.MIN_LINE_WORDS:
-                host_lines[host, ascii_lower(line.strip(" \t\n\x0b\x0c\r"))].add(i)
+                host_lines[host, key(line)].add((base_failed(t)[0], i))
     for i, t, host in rows:
         w = words(t)
-        spans = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
-        rep = {k + j for k in range(len(w) - 7) if spans[tuple(w[k : k + 8])] > 1 for j in range(8)}
         lines = [x for x in (t or "").split("\n") if words(x)]
-        lost = sum(len(words(x)) for x in lines if len(words(x)) >= quality.MIN_LINE_WORDS and len(d := host_lines[host, ascii_lower(x.strip(" \t\n\x0b\x0c\r"))]) > max_docs and min(d) != i)
-        failed = len(w) < 20 or 100 * len(rep) > 30 * len(w)
-        out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), failed, not failed and len(w) - lost >= min_left * len(w)))
-    return sorted(out)
+
+        def goes(x, i=i, host=host):
+            held = host_lines[host, key(x)]
+            return len(words(x)) >= quality.MIN_LINE_WORDS and len({d for _, d in held}) > max_docs and min(held) != (False, i)
+
+        lost = sum(len(words(x)) for x in lines if goes(x))
+        failed, rep = base_failed(t)
+        text = "\n".join(x for x in (t or "").split("\n") if not goes(x))
+        out.append(((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), rep, failed, not failed and len(w) - lost >= min_left * len(w)), text))
+    return out
 
 
 @pytest.mark.parametrize("max_docs", [1, 3])
@@ -133,8 +145,17 @@ def test_quality(spark, odd, empty, max_docs):
     for docs in (odd, documents(spark, SF)):
         rows = [(r["doc_id"], r["text"], r["source"] or "") for r in docs.filter("doc_id is not null").collect()]
         got = quality.quality(docs, max_docs=max_docs, min_left=0.5).drop("removed_words").collect()
-        assert sorted(map(tuple, got)) == brute_quality(rows, max_docs, 0.5)
-    assert quality.quality(empty).count() == 0
+        want = brute_quality(rows, max_docs, 0.5)
+        assert sorted(map(tuple, got)) == sorted(x for x, _ in want)
+        kept = quality.cleaned(docs, max_docs, 0.5)
+        assert kept.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((x[0], t) for x, t in want if x[-1])
+    assert quality.quality(empty).count() == 0 and quality.cleaned(empty).count() == 0
+
+
+def test_quality_judges_rows_of_a_doc_id_apart(spark):
+    good = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, good, "s", 7), (1, "short", "s", 7), (1, good, "s", 8)], "doc_id long, text string, source string, kept int")
+    assert sorted(tuple(r) for r in quality.cleaned(docs).collect()) == [(1, good, "s", 7), (1, good, "s", 8)]
 
 
 def test_line_dedup(spark, odd, empty):
