@@ -67,8 +67,11 @@ TASK_BYTES = 16 << 20
 
 
 def shuffle_partitions(df: DataFrame) -> int:
-    """Tasks of a shuffle over what is made of ``df``: the session's number, more where the files that ``df`` reads are large."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Tasks of a shuffle over what is made of ``df``: the session's number, more where the files that ``df`` reads are large. Relations of
+    unknown size, which Spark takes for endless, don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 1 << 15))
 
 

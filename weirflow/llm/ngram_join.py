@@ -531,7 +531,7 @@ def _narrowed(members: DataFrame, *used: DataFrame) -> DataFrame:
         less = stored(narrowed(members.drop("n")), "members")
         discard(members, *used)
         members, used, after = less, (), less.count()
-        if after > 0.9 * before:
+        if after >= 0.9 * before:
             return members
         before = after
 
