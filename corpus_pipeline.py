@@ -15,29 +15,38 @@ from weirflow.llm.decontam import contaminated
 from weirflow.llm.linededup import dedup_lines
 from weirflow.llm.ngram_join import similar_documents
 from weirflow.llm.packing import pack_documents
-from weirflow.llm.quality import quality
+from weirflow.llm.quality import cleaned
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """With the number of characters of the texts as they are now, in the column that documents have for it."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, unchanged; the others go, and so do rows without doc_id."""
-    kept = quality(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Rows that the rules keep, without the lines that are above limits; the others go, and so do rows without doc_id."""
+    return counted(cleaned(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the lines that the operator keeps and their number of characters."""
-    kept = dedup_lines(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
+    """All documents, with the lines that the operator keeps and their number of characters. Columns that are named as the operator's
+    counts pass unchanged."""
+    own = {c: f"_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    kept = dedup_lines(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()]))
+    return counted(kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns]))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that of the least doc_id; of rows that repeat a doc_id the first by text."""
+    """One document of each group of linked ones, that of the least doc_id; of rows that repeat a doc_id the first by text. Rows without
+    doc_id go."""
     kept = similar_documents(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = stored(kept, "representatives")
     if kept.filter("rows > 1").isEmpty():
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+        return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(kept, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = Window.partitionBy("row.doc_id").orderBy(F.col("row.text").asc_nulls_last())
+    rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
