@@ -217,6 +217,89 @@ def test_diamond(spark, tmp_path):
     assert [sum(j.pipeline == n and j.output is not None for j in e.jobs) for n in "bcd"] == [2, 2, 2]
 
 
+def put(e, repo, branch="master", **files):
+    c = e.store.start_commit(repo, branch)
+    for path, text in files.items():
+        e.store.put_file(c, path, text, "overwrite")
+    return c
+
+
+def test_queued_jobs_read_their_own_commits(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.create_pipeline(Pipeline("p", Input("a"), copy))
+    e._draining = True  # both commits finish while another job runs
+    first, second = put(e, "a", x="1"), put(e, "a", y="2")
+    e.finish_commit(first)
+    e.finish_commit(second)
+    e._draining = False
+    e._drain()
+    assert [contents(e.store.view(j.output)) for j in e.jobs] == [{"x": "1"}, {"x": "1", "y": "2"}]
+    assert e.store.commits[e.jobs[0].output].provenance == [first]
+
+
+def test_union_and_branches_carry_contents(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.create_pipeline(Pipeline("u", Input(union=(Input("a"), Input("b"), Input("a", branch="dev", name="d"))), copy))
+    for c in (put(e, "a", x="1"), put(e, "b", x="2", y="3"), put(e, "a", "dev", x="4")):
+        e.finish_commit(c)
+    assert contents(e.store.view(e.store.heads["u", "master"])) == {"x": "124", "y": "3"}
+    j = e.run("u", [e.store.heads["a", "dev"]])
+    assert j.manual and counts(j) == (0, 0, 0, 2)
+    with pytest.raises(InvalidInput):
+        e.run("u", [e.store.heads["u", "master"]])
+
+
+def test_transaction_is_undone(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.finish_commit(put(e, "a", x="1"))
+    with pytest.raises(InvalidInput):
+        e.transaction([Pipeline("p", Input("a"), copy), Pipeline("q", Input("p", glob="*", join_on="x"), copy)])
+    assert not e.pipelines and not e.jobs and "p" not in e.store.repos
+    with pytest.raises(InvalidInput):
+        e.transaction([Pipeline("p", Input("a"), copy)], {"p": 1})
+
+
+def test_stop_start_cancel_stats(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.create_pipeline(Pipeline("p", Input("a"), copy, stats=True))
+    e.finish_commit(put(e, "a", x="1", y="2"))
+    (j,) = e.jobs
+    assert e.inspect_datum(j.job_id, "x")["state"] == "success" and sorted(contents(e.store.view(j.stats))) == ["000000", "000001"]
+    e.stop("p")
+    e.start("p")
+    assert len(e.jobs) == 1  # nothing came meanwhile
+    e.stop("p")
+    e.finish_commit(put(e, "a", z="3"))
+    e.start("p")
+    assert len(e.jobs) == 2 and counts(e.jobs[1]) == (1, 0, 0, 2)
+    e._draining = True
+    e.finish_commit(put(e, "a", w="4"))
+    e.cancel(e.jobs[2].job_id)
+    e._draining = False
+    e._drain()
+    assert e.jobs[2].state == "killed" and e.jobs[2].output is None
+    e.delete_job(e.jobs[2].job_id)
+    assert len(e.jobs) == 2
+
+
+def test_timeouts(spark, tmp_path):
+    import time
+
+    def slow(pdf):
+        if pdf["path"].iloc[0] == "x":
+            time.sleep(60)
+        return pdf[["path", "content"]]
+
+    e = Engine(Store(spark, str(tmp_path)))
+    e.create_pipeline(Pipeline("p", Input("a"), per_datum(slow, timeout=0.5)))
+    e.create_pipeline(Pipeline("q", Input("a"), per_datum(slow), job_timeout=6))
+    began = time.time()
+    e.finish_commit(put(e, "a", x="1", y="2"))
+    p, q = ({j.pipeline: j for j in e.jobs}[n] for n in "pq")
+    assert counts(p) == (1, 0, 1, 0) and contents(e.store.view(p.output)) == {"y": "2"}
+    assert q.state == "killed" and "job timeout" in q.reason and time.time() - began < 55
+
+
 def test_input_algebra(spark):
     files = lambda repo, branch: spark.createDataFrame([(f"file-{k}", "h", 1) for k in range(2)], "path string, hash string, size long")
     cross = compile_input(Input(cross=(Input(union=(Input("a"), Input("b"))), Input(union=(Input("c"), Input("d"))))), files)

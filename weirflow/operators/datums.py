@@ -109,24 +109,40 @@ def datum_hash(files: DataFrame, datum: str, name: str) -> DataFrame:
     return files.groupBy(F.col(datum).alias("datum_id")).agg(F.sha2(text, 256).alias("hash"), F.count("*").alias("n_files"))
 
 
-def run_datums(datums: DataFrame, transform: Callable, schema: str, tries: int = 1, on_error: Callable | None = None) -> DataFrame:
+def run_datums(datums: DataFrame, transform: Callable, schema: str, tries: int = 1, on_error: Callable | None = None, timeout: float | None = None) -> DataFrame:
     """Runs transform(rows of one datum) -> rows with up to ``tries`` attempts, then ``on_error``. Adds outcome, attempts and reason; the result
-    rows of a datum that failed are lost, its outcome isn't."""
+    rows of a datum that failed are lost, its outcome isn't. A call is broken off after ``timeout`` seconds, which counts as a failure."""
     import pandas as pd
 
+    def timed(fn: Callable, pdf: pd.DataFrame) -> pd.DataFrame:
+        if timeout is None:
+            return fn(pdf)
+        import signal
+
+        def late(*_: object) -> None:
+            raise TimeoutError(f"datum timeout of {timeout} s")
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, timeout)
+        try:
+            return fn(pdf)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
     columns = [c.strip().split()[0] for c in schema.split(",")]
 
     def attempt(pdf: pd.DataFrame) -> pd.DataFrame:
         datum, reason, out, outcome, attempts = pdf["datum_id"].iloc[0], "", None, "failed", 0
         for attempts in range(1, max(1, tries) + 1):
             try:
-                out, outcome = transform(pdf), "success"
+                out, outcome = timed(transform, pdf), "success"
                 break
             except Exception as error:
                 reason = f"datum {datum} failed: {error}"
         if out is None and on_error is not None:
             try:
-                out, outcome = on_error(pdf), "recovered"
+                out, outcome = timed(on_error, pdf), "recovered"
             except Exception as error:
                 reason = f"datum {datum} failed: {error}"
         out = pd.DataFrame(columns=columns) if out is None else out[columns]

@@ -5,20 +5,25 @@ Only names and ids are handled on the driver; files and datums are DataFrames th
 from __future__ import annotations
 
 import secrets
+import threading
 import uuid
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dag, incremental
+from ..operators.datums import numbered
+from ..operators.view import concatenated, list_files, removed_paths
 from ..sources.egress import egress
 from ..sources.store import Store
-from .inputs import InvalidInput, Pipeline, compile_input, sides, validate
+from .inputs import InvalidInput, Pipeline, compile_input, has_union, sides, validate
 
 RECORDS = "datum_id string, hash string, outcome string, transform_hash string, datum_ord string, path string, content string"
+STATS = "job_id string, datum_id string, state string, hash string, transform_hash string, files array<string>"
 
 
 @dataclass
@@ -30,6 +35,14 @@ class Job:
     reason: str = ""
     output: str | None = None
     counts: dict[str, int] = field(default_factory=dict)
+    #: The head of each branch that the input reads, at the moment the job was made; none for a branch without commits.
+    heads: dict[tuple[str, str], str | None] = field(default_factory=dict)
+    manual: bool = False
+    stats: str | None = None
+
+    @property
+    def settled(self) -> bool:
+        return self.state in ("success", "failure", "killed")
 
 
 class Engine:
@@ -42,6 +55,7 @@ class Engine:
         self.records: dict[str, str] = {}  # pipeline -> folder of the last records
         self._queue: deque[Job] = deque()
         self._draining = False
+        self._killed: dict[str, str] = {}  # running job -> why it is to end
 
     def create_pipeline(self, p: Pipeline, update: bool = False) -> None:
         validate(p.input)
@@ -67,24 +81,100 @@ class Engine:
         del self.pipelines[name]
         self.records.pop(name, None)
 
-    def transaction(self, pipelines: list[Pipeline]) -> None:
-        """All or none: validated first, then created in topological order."""
-        before = dict(self.pipelines)
-        order = dag.topological([(s.repo, p.name) for p in pipelines for s in sides(p.input)], [])
+    def transaction(self, pipelines: list[Pipeline], expected: dict[str, int] | None = None) -> None:
+        """All or none: created in topological order, their jobs run after the last. On an error pipelines, records, repositories and jobs are
+        as before. ``expected``: versions that pipelines must still have, 0 for none."""
+        for name, version in (expected or {}).items():
+            held = self.pipelines.get(name)
+            if (held.version if held else 0) != version:
+                raise InvalidInput(f"pipeline {name} was changed outside of the transaction")
+        order = dag.topological([(s.repo, p.name) for p in pipelines for s in sides(p.input)], [p.name for p in pipelines])
+        before = dict(self.pipelines), dict(self.records), dict(self.store.repos), list(self.jobs), deque(self._queue)
+        draining, self._draining = self._draining, True
         try:
             for p in sorted(pipelines, key=lambda p: order.index(p.name)):
                 self.create_pipeline(p, update=p.name in self.pipelines)
         except Exception:
-            self.pipelines = before
+            self.pipelines, self.records, self.store.repos, self.jobs, self._queue = before
             raise
+        finally:
+            self._draining = draining
+        self._drain()
 
     def stop(self, name: str) -> None:
-        self.pipelines[name].state = "stopped"
+        p = self.pipelines[name]
+        p.state, p.stopped_at = "stopped", tuple(self._heads(p).values())
 
     def start(self, name: str) -> None:
-        self.pipelines[name].state = "running"
-        self._schedule(self.pipelines[name])
+        """Runs one job over the heads, if commits came while it was stopped or no job has seen them."""
+        p = self.pipelines[name]
+        heads = self._heads(p)
+        p.state = "running"
+        if tuple(heads.values()) != p.stopped_at or not any(j.pipeline == name and j.heads == heads for j in self.jobs):
+            self._schedule(p)
+        p.stopped_at = None
+        self._drain()
+
+    def run(self, name: str, commits: list[str] | None = None, job_id: str | None = None) -> Job:
+        """A manual job: over the heads, over these commits (one of a branch that the input reads; the heads elsewhere), or over the inputs of
+        a job. Its output starts no other job."""
+        p = self.pipelines[name]
+        heads = self._heads(p)
+        if job_id is not None:
+            heads = dict(self.job(job_id).heads)
+        chosen: set[tuple[str, str]] = set()
+        for c in commits or []:
+            if c not in self.store.commits:
+                raise InvalidInput(f"no commit {c}")
+            at = self.store.commits[c].repo, self.store.commits[c].branch
+            if at not in heads:
+                raise InvalidInput(f"{name} doesn't read {at[0]}@{at[1]}")
+            if at in chosen:
+                raise InvalidInput(f"two commits of {at[0]}@{at[1]}")
+            chosen.add(at)
+            heads[at] = c
+        job = Job(secrets.token_hex(8), name, tuple(dict.fromkeys(h for h in heads.values() if h)), heads=heads, manual=True)
+        self.jobs.append(job)
+        self._queue.append(job)
         self._drain()
+        return job
+
+    def job(self, job_id: str) -> Job:
+        """By its id or its output commit."""
+        found = next((j for j in self.jobs if job_id in (j.job_id, j.output)), None)
+        if found is None:
+            raise InvalidInput(f"no job {job_id}")
+        return found
+
+    def cancel(self, job_id: str) -> None:
+        """A queued job is killed at once, a running one at its next Spark task; a settled one stays as it is."""
+        job = self.job(job_id)
+        if job.state == "queued":
+            self._queue = deque(j for j in self._queue if j is not job)
+            job.state, job.reason = "killed", "cancelled"
+        elif job.state == "running":
+            self._kill(job, "cancelled")
+
+    def delete_job(self, job_id: str) -> None:
+        job = self.job(job_id)
+        if job.state == "running":
+            raise InvalidInput(f"job {job_id} is running; cancel it first")
+        self.cancel(job_id)
+        self.jobs.remove(job)
+
+    def _kill(self, job: Job, reason: str) -> None:
+        self._killed.setdefault(job.job_id, reason)
+        self.spark.sparkContext.cancelJobGroup(job.job_id)
+
+    def inspect_datum(self, job_id: str, datum_id: str) -> dict:
+        """The record of a datum in the stats commit of its job."""
+        job = self.job(job_id)
+        if job.stats is None:
+            raise InvalidInput("the pipeline keeps no stats")
+        rows = self.store.view(job.stats).select(F.from_json("content", STATS).alias("r")).filter(F.col("r.datum_id") == datum_id).take(1)
+        if not rows:
+            raise InvalidInput(f"no datum {datum_id}")
+        return rows[0]["r"].asDict(recursive=True)
 
     def finish_commit(self, commit: str, empty: bool = False) -> None:
         self.store.finish_commit(commit, empty=empty)
@@ -97,14 +187,18 @@ class Engine:
             if any((s.repo, s.branch) == (c.repo, c.branch) for s in sides(p.input)):
                 self._schedule(p)
 
+    def _heads(self, p: Pipeline) -> dict[tuple[str, str], str | None]:
+        return {(i.repo, i.branch): self.store.heads.get((i.repo, i.branch)) for i in sides(p.input)}
+
     def _schedule(self, p: Pipeline) -> None:
         """A job over the current heads, unless it is stopped, they disagree on a source, or the same job exists."""
-        heads = tuple(h for s in sides(p.input) if (h := self.store.heads.get((s.repo, s.branch))))
-        if not heads or p.state != "running" or not self.consistent(heads):
+        heads = self._heads(p)
+        inputs = tuple(dict.fromkeys(h for h in heads.values() if h))
+        if not inputs or p.state != "running" or not self.consistent(inputs):
             return
-        if any(j.pipeline == p.name and set(j.inputs) == set(heads) and j.state in ("queued", "running") for j in self.jobs):
+        if any(j.pipeline == p.name and j.heads == heads and j.state in ("queued", "running") for j in self.jobs):
             return
-        self.jobs.append(job := Job(secrets.token_hex(8), p.name, heads))
+        self.jobs.append(job := Job(secrets.token_hex(8), p.name, inputs, heads=heads))
         self._queue.append(job)
 
     def consistent(self, heads: tuple[str, ...]) -> bool:
@@ -128,50 +222,52 @@ class Engine:
         finally:
             self._draining = False
 
+    def _settle_empty(self, job: Job, state: str, reason: str, provenance: list[str]) -> None:
+        """A job that came to nothing: an empty output commit."""
+        job.state, job.reason = state, reason[-4000:]
+        job.output = self.store.start_commit(job.pipeline, provenance=provenance)
+        self.store.finish_commit(job.output, empty=True)
+        if not job.manual:
+            self._finished(job.output)
+
+    def _contents(self, job: Job, todo: DataFrame, merged: bool) -> DataFrame:
+        """todo with the content of each file, as the job's commits have it; a file of several parts is their concatenation."""
+        held = [self.store.view(c).select(F.lit(repo).alias("_repo"), F.lit(branch).alias("_branch"), F.col("path").alias("_path"), "content") for (repo, branch), c in job.heads.items() if c]
+        if not held:
+            return todo.drop("parts").withColumn("content", F.lit(None).cast("string")).limit(0)
+        of = [F.col("_part.repo") == F.col("_repo"), F.col("_part.branch") == F.col("_branch"), F.col("_part.path") == F.col("_path")]
+        rows = todo.select("*", F.posexplode("parts").alias("_pos", "_part")).drop("parts").join(reduce(DataFrame.unionByName, held), of)
+        if not merged:
+            return rows.drop("_pos", "_part", "_repo", "_branch", "_path")
+        return rows.groupBy(*[c for c in todo.columns if c != "parts"]).agg(concatenated("content", "_pos").alias("content"))
+
     def _run(self, job: Job) -> None:
         p = self.pipelines[job.pipeline]
         failed = [j for j in self.jobs if j.output in job.inputs and j.state == "failure"]
         provenance = list(dict.fromkeys(x for h in job.inputs for x in (h, *self.store.commits[h].provenance)))
         if failed:
-            job.state, job.reason = "failure", "an input's job failed"
-            job.output = self.store.start_commit(p.name, provenance=provenance)
-            self.store.finish_commit(job.output, empty=True)
-            self._finished(job.output)
+            self._settle_empty(job, "failure", "an input's job failed", provenance)
             return
         job.state = "running"
-        datums = compile_input(p.input, self.store.files)
-        hashed = datums.groupBy("datum_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "path", "hash"))), lambda f: F.concat(f["side"], F.lit("\0"), f["path"], F.lit("\0"), f["hash"], F.lit("\0"))), ""), 256).alias("hash"))
-        last = self.spark.read.schema(RECORDS).parquet(self.records[p.name]) if p.name in self.records else self.spark.createDataFrame([], RECORDS)
-        tested = incremental.skip_test(hashed, last, p.reprocess)
-        todo = datums.join(tested.filter(~F.col("skipped")).select("datum_id", "hash").withColumnRenamed("hash", "datum_hash"), "datum_id")
-        content = [self.store.view(h).select("path", "content", F.lit(self.store.commits[h].repo).alias("repo")) for h in dict.fromkeys(job.inputs)]
-        alias_of = {s.alias: s.repo for s in sides(p.input)}
-        rows = None
-        for alias, repo in alias_of.items():
-            own = [c for c, h in zip(content, dict.fromkeys(job.inputs), strict=True) if self.store.commits[h].repo == repo]
-            if own:
-                part = todo.filter(F.col("side") == alias).join(own[0].drop("repo"), "path")
-                rows = part if rows is None else rows.unionByName(part)
-        if rows is None:
-            rows = todo.withColumn("content", F.lit(None).cast("string")).limit(0)
-        # the transform's rows: datum_id, path, content and, where it has them, outcome
-        made = p.transform(rows)
-        if "outcome" not in made.columns:
-            made = made.withColumn("outcome", F.lit("success"))
-        fresh = tested.filter(~F.col("skipped")).select("datum_id", "hash").join(made.select("datum_id", "path", "content", "outcome"), "datum_id", "left")
-        fresh = fresh.select("datum_id", "hash", F.coalesce("outcome", F.lit("success")).alias("outcome"), F.lit(p.transform_key).alias("transform_hash"), F.col("datum_id").alias("datum_ord"), "path", "content")
-        kept = last.join(tested.filter("skipped").select("datum_id"), "datum_id", "left_semi").select(*fresh.columns)
-        folder = f"{self.store.root}/records/{p.name}/{uuid.uuid4().hex}"
+        context = self.spark.sparkContext
+        context.setJobGroup(job.job_id, f"job of {p.name}", interruptOnCancel=True)
+        timer = threading.Timer(p.job_timeout, self._kill, (job, f"job timeout of {p.job_timeout} s")) if p.job_timeout else None
+        if timer:
+            timer.start()
         try:
-            fresh.withColumn("fresh", F.lit(True)).unionByName(kept.withColumn("fresh", F.lit(False))).write.parquet(folder)
+            records, last_key = self._execute(job, p)
         except Exception as error:
-            job.state, job.reason = "failure", str(error)[-4000:]
-            job.output = self.store.start_commit(p.name, provenance=provenance)
-            self.store.finish_commit(job.output, empty=True)
-            self._finished(job.output)
+            killed = self._killed.pop(job.job_id, None)
+            self._settle_empty(job, "killed" if killed else "failure", killed or str(error), provenance)
+            return
+        finally:
+            if timer:
+                timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+        if killed := self._killed.pop(job.job_id, None):
+            self._settle_empty(job, "killed", killed, provenance)
             return
-        self.records[p.name] = folder
-        records = self.spark.read.schema(RECORDS + ", fresh boolean").parquet(folder)
+        self.records[p.name] = last_key
         states = records.select("datum_id", F.when(F.col("fresh"), F.col("outcome")).otherwise("skipped").alias("state")).distinct().withColumn("job_id", F.lit(job.job_id))
         got = incremental.job_counters(states).first()
         job.counts = {k: got[k] for k in ("processed", "recovered", "failed", "skipped")} if got else dict.fromkeys(("processed", "recovered", "failed", "skipped"), 0)
@@ -184,17 +280,52 @@ class Engine:
         parent = self.store.heads.get((p.name, "master"))
         self.store.put(job.output, merged.select("path", "content"), "overwrite")
         if parent:
-            from ..operators.view import removed_paths
-
             self.store.put(job.output, removed_paths(self.store.view(parent), merged), "delete")
         self.store.finish_commit(job.output)
         job.state = "failure" if job.counts["failed"] else "success"
+        if p.stats:
+            self._publish_stats(job, records, provenance)
         if p.egress:
             try:
                 egress(self.store.view(job.output), p.egress)
             except Exception as error:
                 job.state, job.reason = "failure", str(error)
-        self._finished(job.output)
+        if not job.manual:
+            self._finished(job.output)
+
+    def _execute(self, job: Job, p: Pipeline) -> tuple[DataFrame, str]:
+        """Runs the datums that changed; the records of all of them, and the folder that holds them."""
+
+        def files(repo: str, branch: str) -> DataFrame:
+            head = job.heads.get((repo, branch))
+            return list_files(self.store.view(head)) if head else self.spark.createDataFrame([], "path string, size long, hash string")
+
+        datums = compile_input(p.input, files)
+        hashed = datums.groupBy("datum_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "path", "hash"))), lambda f: F.concat(f["side"], F.lit("\0"), f["path"], F.lit("\0"), f["hash"], F.lit("\0"))), ""), 256).alias("hash"))
+        last = self.spark.read.schema(RECORDS).parquet(self.records[p.name]) if p.name in self.records else self.spark.createDataFrame([], RECORDS)
+        tested = incremental.skip_test(hashed, last, p.reprocess)
+        todo = datums.join(tested.filter(~F.col("skipped")).select("datum_id", "hash").withColumnRenamed("hash", "datum_hash"), "datum_id")
+        # the transform's rows: datum_id, path, content and, where it has them, outcome
+        made = p.transform(self._contents(job, todo, has_union(p.input)))
+        if "outcome" not in made.columns:
+            made = made.withColumn("outcome", F.lit("success"))
+        fresh = tested.filter(~F.col("skipped")).select("datum_id", "hash").join(made.select("datum_id", "path", "content", "outcome"), "datum_id", "left")
+        fresh = fresh.select("datum_id", "hash", F.coalesce("outcome", F.lit("success")).alias("outcome"), F.lit(p.transform_key).alias("transform_hash"), F.col("datum_id").alias("datum_ord"), "path", "content")
+        kept = last.join(tested.filter("skipped").select("datum_id"), "datum_id", "left_semi").select(*fresh.columns)
+        folder = f"{self.store.root}/records/{p.name}/{uuid.uuid4().hex}"
+        fresh.withColumn("fresh", F.lit(True)).unionByName(kept.withColumn("fresh", F.lit(False))).write.parquet(folder)
+        return self.spark.read.schema(RECORDS + ", fresh boolean").parquet(folder), folder
+
+    def _publish_stats(self, job: Job, records: DataFrame, provenance: list[str]) -> None:
+        """A commit on the output's branch ``stats``: a file for each datum, numbered in id order, with its record as JSON."""
+        state = F.when(F.first("fresh"), F.first("outcome")).otherwise("skipped")
+        files = F.filter(F.array_sort(F.collect_list("path")), lambda x: x.isNotNull())
+        each = records.groupBy("datum_id").agg(state.alias("state"), F.first("hash").alias("hash"), F.first("transform_hash").alias("transform_hash"), files.alias("files"))
+        rows = numbered(each, "datum_id").withColumn("job_id", F.lit(job.job_id))
+        text = F.to_json(F.struct("job_id", "datum_id", "state", "hash", "transform_hash", "files"))
+        job.stats = self.store.start_commit(job.pipeline, "stats", provenance=provenance)
+        self.store.put(job.stats, rows.select(F.format_string("%06d", "row_no").alias("path"), text.alias("content")), "overwrite")
+        self.store.finish_commit(job.stats)
 
     def flush(self, commits: list[str]) -> list[Job]:
         """The last job of each pipeline downstream of all these commits."""
@@ -203,8 +334,8 @@ class Engine:
         return list({j.pipeline: j for j in self.jobs if j.job_id in shared}.values())
 
 
-def per_datum(fn: Callable, schema: str = "path string, content string", tries: int = 1, on_error: Callable | None = None) -> Callable[[DataFrame], DataFrame]:
-    """A transform of a Python function over one datum's rows, with attempts and an error handler."""
+def per_datum(fn: Callable, schema: str = "path string, content string", tries: int = 1, on_error: Callable | None = None, timeout: float | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A transform of a Python function over one datum's rows, with attempts, an error handler and seconds that an attempt may take."""
     from ..operators.datums import run_datums
 
-    return lambda rows: run_datums(rows, fn, schema, tries, on_error).select("datum_id", "path", "content", "outcome")
+    return lambda rows: run_datums(rows, fn, schema, tries, on_error, timeout).select("datum_id", "path", "content", "outcome")

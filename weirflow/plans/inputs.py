@@ -56,6 +56,10 @@ def sides(i: Input) -> Iterator[Input]:
         yield from sides(m)
 
 
+def has_union(i: Input) -> bool:
+    return i.kind == "union" or any(has_union(m) for m in i.members)
+
+
 def consumes(i: Input, repo: str, branch: str) -> bool:
     return any(s.repo == repo and s.branch == branch for s in sides(i))
 
@@ -91,14 +95,30 @@ Files = Callable[[str, str], DataFrame]
 
 
 def compile_input(i: Input, files: Files) -> DataFrame:
-    """files(repo, branch) -> df(path, hash, size). The result has datum_id, side, path, hash, size: one row for each file of each datum."""
+    """files(repo, branch) -> df(path, hash, size). The result has datum_id, side, path, hash, size and parts (repo, branch and path of
+    the files whose contents, in this order, are the file's): one row for each file of each datum."""
     validate(i)
     return _compile(i, files)
 
 
 def _side(i: Input, files: Files) -> DataFrame:
-    f = files(i.repo, i.branch)
-    return globs.scan(f, i.glob).join(f, "path").select(F.col("datum").alias("datum_id"), F.lit(i.alias).alias("side"), "path", "hash", "size")
+    f = _files(i, files)
+    return globs.scan(f, i.glob).join(f, "path").select(F.col("datum").alias("datum_id"), F.lit(i.alias).alias("side"), *FILE)
+
+
+FILE = ("path", "hash", "size", "parts")
+
+
+def _files(i: Input, files: Files) -> DataFrame:
+    part = F.struct(F.lit(i.repo).alias("repo"), F.lit(i.branch).alias("branch"), F.col("path"))
+    return files(i.repo, i.branch).select("path", "hash", "size", F.array(part).alias("parts"))
+
+
+def _namespaced(i: Input, df: DataFrame) -> DataFrame:
+    """A union's member: a repository's files at their paths, those of a cross at <member>/<path>, of a named union at <name>/<path>."""
+    if i.kind == "cross" or i.kind == "union" and i.name:
+        return df.withColumn("path", F.concat_ws("/", "side", "path"))
+    return df
 
 
 def _compile(i: Input, files: Files) -> DataFrame:
@@ -113,13 +133,14 @@ def _compile(i: Input, files: Files) -> DataFrame:
         return reduce(DataFrame.unionByName, [ids.select("datum_id", n).join(p.withColumnRenamed("datum_id", n), n).drop(n) for n, p in parts])
     if i.kind == "union":
         # one datum for each path; parts in branch order
-        every = reduce(DataFrame.unionByName, [_compile(m, files).withColumn("ord", F.lit(k)) for k, m in enumerate(i.members)])
-        part = F.array_sort(F.collect_list(F.struct("ord", "hash", "size")))
-        merged = every.groupBy("path").agg(part.alias("parts"))
-        return merged.select(F.col("path").alias("datum_id"), F.lit(i.name or "union").alias("side"), "path", F.sha2(F.array_join(F.transform("parts", lambda p: p["hash"]), ""), 256).alias("hash"), F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["size"]).alias("size"))
-    keyed = [(m, datums.keyed(files(m.repo, m.branch), globs.capture_key(F.col("path"), m.glob, m.join_on or m.group_by))) for m in i.members]
+        every = reduce(DataFrame.unionByName, [_namespaced(m, _compile(m, files)).withColumn("ord", F.lit(k)) for k, m in enumerate(i.members)])
+        of = F.array_sort(F.collect_list(F.struct("ord", "datum_id", "hash", F.col("size").cast("long").alias("size"), "parts")))
+        merged = every.groupBy("path").agg(of.alias("of"))
+        size = F.aggregate("of", F.lit(0).cast("long"), lambda s, p: s + p["size"])
+        return merged.select(F.col("path").alias("datum_id"), F.lit(i.name or "union").alias("side"), "path", F.sha2(F.array_join(F.transform("of", lambda p: p["hash"]), ""), 256).alias("hash"), size.alias("size"), F.flatten(F.transform("of", lambda p: p["parts"])).alias("parts"))
+    keyed = [(m, datums.keyed(_files(m, files), globs.capture_key(F.col("path"), m.glob, m.join_on or m.group_by))) for m in i.members]
     if i.kind == "group" and not any(m.join_on for m in i.members):
-        return reduce(DataFrame.unionByName, [df.select(F.col("key").alias("datum_id"), F.lit(m.alias).alias("side"), "path", "hash", "size") for m, df in keyed])
+        return reduce(DataFrame.unionByName, [df.select(F.col("key").alias("datum_id"), F.lit(m.alias).alias("side"), *FILE) for m, df in keyed])
     pairs = datums.join([(m.alias, df) for m, df in keyed])
     names = [m.alias for m in i.members]
     ids = F.concat_ws("+", *[F.concat(F.lit(n + "="), F.col(n)) for n in names])
@@ -128,11 +149,11 @@ def _compile(i: Input, files: Files) -> DataFrame:
         pairs = pairs.filter(reduce(lambda a, b: a & b, [keys[0] == k for k in keys[1:]], keys[0].isNotNull()))
         ids = keys[0]
     pairs = pairs.withColumn("datum_id", ids)
-    out = [pairs.select("datum_id", F.col(m.alias).alias("path")).distinct().join(df.drop("key"), "path").select("datum_id", F.lit(m.alias).alias("side"), "path", "hash", "size") for m, df in keyed]
+    out = [pairs.select("datum_id", F.col(m.alias).alias("path")).distinct().join(df.drop("key"), "path").select("datum_id", F.lit(m.alias).alias("side"), *FILE) for m, df in keyed]
     for m, df in keyed:
         if m.outer and i.kind == "join":
             left = datums.outer_leftovers([(x.alias, d) for x, d in keyed], m.alias)
-            out.append(left.select("path").join(df.drop("key"), "path").select(F.concat(F.lit(m.alias + "="), "path").alias("datum_id"), F.lit(m.alias).alias("side"), "path", "hash", "size"))
+            out.append(left.select("path").join(df.drop("key"), "path").select(F.concat(F.lit(m.alias + "="), "path").alias("datum_id"), F.lit(m.alias).alias("side"), *FILE))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -146,4 +167,7 @@ class Pipeline:
     version: int = 1
     state: str = "running"
     egress: str = ""
+    stats: bool = False
+    job_timeout: float | None = None
     history: list[str] = field(default_factory=list)
+    stopped_at: tuple[str | None, ...] | None = None
