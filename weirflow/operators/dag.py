@@ -27,13 +27,13 @@ def same_inputs(jobs: DataFrame, states: Iterable[str] | None = None) -> DataFra
     return held.groupBy("pipeline", F.array_join(F.array_sort(F.array_distinct("inputs")), ",").alias("inputs")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, checkpoint=None, most: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, checkpoint=None) -> DataFrame:
     """edges(src, dst), seeds(node) -> seed, node: all that can be reached, the seeds themselves left out. One join for each level; nodes are visited
     once for a seed, so diamonds don't multiply and cycles end. ``checkpoint`` cuts the lineage of a level."""
     keep = checkpoint or (lambda df: df.checkpoint())
     frontier = seeds.select(F.col("node").alias("seed"), "node").distinct()
     seen = frontier
-    for _ in range(most):
+    while True:
         frontier = keep(frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
             break

@@ -180,11 +180,12 @@ def commit_delta(spark, d):
     return view.commit_delta(at(4), at(5))
 
 
-@query("type_conflicts", "WITH p AS (SELECT lang || '/' || source AS path FROM documents WHERE doc_id % 97 = 0 UNION SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 2 = 0) SELECT DISTINCT a.path FROM p a JOIN p b ON starts_with(b.path, a.path || '/')")
+@query("type_conflicts", "WITH p AS (SELECT lang || '/' || source AS path FROM documents UNION SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) FROM documents) SELECT DISTINCT a.path FROM p a JOIN p b ON starts_with(b.path, a.path || '/')")
 def type_conflicts(spark, d):
     docs = table(spark, d, "documents")
-    short = docs.filter("doc_id % 97 = 0").select(F.concat_ws("/", "lang", "source").alias("path"))
-    return view.type_conflicts(short.unionByName(docs.filter("doc_id % 2 = 0").select(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"))))
+    folder = F.concat("lang", F.lit("/"), "source")
+    paths = docs.select(folder.alias("path")).unionByName(docs.select(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string")).alias("path")))
+    return view.type_conflicts(paths.filter("path is not null"))
 
 
 @query("copy_subtree", f"WITH {FILES} SELECT 'copy/de' || substr(path, 3) AS path, size, hash, 'append' AS kind FROM files WHERE starts_with(path, 'de/')")
@@ -249,10 +250,9 @@ def cross_datums(spark, d):
     return datums.cross([("a", _named(spark, d, "region", "r_regionkey", "r")), ("b", _named(spark, d, "nation", "n_nationkey", "n"))]).select("datum_id")
 
 
-@query("cross_three_sides", "SELECT 'a=r' || CAST(r_regionkey AS VARCHAR) || '+b=n' || CAST(n_nationkey AS VARCHAR) || '+c=s' || CAST(s_suppkey AS VARCHAR) AS datum_id FROM region CROSS JOIN nation CROSS JOIN supplier WHERE s_suppkey < 20")
+@query("cross_three_sides", "SELECT 'a=r' || CAST(r_regionkey AS VARCHAR) || '+b=n' || CAST(n_nationkey AS VARCHAR) || '+c=s' || CAST(s_suppkey AS VARCHAR) AS datum_id FROM region CROSS JOIN nation CROSS JOIN supplier")
 def cross_three_sides(spark, d):
-    few = table(spark, d, "supplier").filter("s_suppkey < 20").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
-    return datums.cross([("a", _named(spark, d, "region", "r_regionkey", "r")), ("b", _named(spark, d, "nation", "n_nationkey", "n")), ("c", few)]).select("datum_id")
+    return datums.cross([("a", _named(spark, d, "region", "r_regionkey", "r")), ("b", _named(spark, d, "nation", "n_nationkey", "n")), ("c", _named(spark, d, "supplier", "s_suppkey", "s"))]).select("datum_id")
 
 
 def _ab(spark, d):
@@ -405,7 +405,7 @@ def failure_reasons(spark, d):
     return incremental.failure_reason(jobs(spark, d).withColumn("reason", F.concat(F.lit("ms "), F.col("ms").cast("string"))), "pipeline")
 
 
-@query("stats_records")
+@query("stats_records", f"WITH {JOBS} SELECT lpad(CAST(row_number() OVER (ORDER BY job_id) - 1 AS VARCHAR), 6, '0') AS path, CAST(json_object('datum_id', datum_id, 'state', state, 'ms', ms) AS VARCHAR) AS record FROM jobs")
 def stats_records(spark, d):
     rows = datums.numbered(jobs(spark, d).select("job_id", "datum_id", "state", "ms"), "job_id")
     return rows.select(F.lpad(F.col("row_no").cast("string"), 6, "0").alias("path"), F.to_json(F.struct("datum_id", "state", "ms")).alias("record"))
@@ -597,7 +597,7 @@ def cron_ticks_overwrite(spark, d):
     return triggers.cron_ticks(b, 24 * 3600).agg(F.max("name").alias("name"))
 
 
-@query("egress_roundtrip")
+@query("egress_roundtrip", f"WITH {FILES} SELECT path, size, hash FROM files")
 def egress_roundtrip(spark, d):
     from .sources.egress import egress, read_back
 
