@@ -27,8 +27,10 @@ CALIBRATION_DOCS = 1_700
 #: What is taken from events of 0, 1, 2, and 3 or more documents; single documents say little. Pairs of fewer
 #: documents, counted over all of them, are discounted in full: they take the word's value (see REPLY_r01.md).
 DISCOUNTS, PAIR_DOCS = (0, 0.9, 1.5, 2.0), 3
-#: Word pairs that a task adds up before it hands them on.
-PAIRS_AT_ONCE = 200_000
+#: Words and word pairs that a task adds up before it hands them on.
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 1_000_000
+#: Labels are broadcast up to this number, 24 MB; beyond it they and the texts are joined by shuffle.
+BROADCAST_LABELS = 2_000_000
 #: Words of the stretch whose mean evidence is largest, for each of these lengths.
 STRETCHES = (1, 4, 12)
 THRESHOLD = 0.3
@@ -108,26 +110,59 @@ def counted(docs: DataFrame) -> DataFrame:
             texts = [" ".join(words_of(t)) for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "same": [xxhash.xxh3_128_digest(t) for t in texts], "words": texts})
 
-    def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def word_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out() -> pd.DataFrame:
-            rows = [(v, w, held[0][v, w], held[1][v, w]) for v, w in held[0].keys() | held[1].keys()]
+            rows = [(w, held[0][w], held[1][w]) for w in held[0].keys() | held[1].keys()]
             for c in held:
                 c.clear()
-            return pd.DataFrame(rows, columns=["v", "w", "n0", "n1"])
+            return pd.DataFrame(rows, columns=["w", "n0", "n1"])
 
+        for b in batches:
+            for toxic, text in zip(b["toxic"], b["words"], strict=True):
+                held[toxic].update(set(text.split()))
+                if len(held[0]) + len(held[1]) > WORDS_AT_ONCE:
+                    yield out()
+        yield out()
+
+    def pair_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = {w: k for k, w in enumerate(shared.value)}
+        held: tuple[list, list] = ([], [])
+
+        def out() -> pd.DataFrame:
+            found = [np.unique(np.concatenate(c), return_counts=True) if c else (np.empty(0, np.int64),) * 2 for c in held]
+            for c in held:
+                c.clear()
+            return pd.DataFrame({"pair": np.concatenate([k for k, _ in found]), "n": np.concatenate([found[0][1], found[1][1] << 32])})
+
+        size = 0
         for b in batches:
             for toxic, text in zip(b["toxic"], b["words"], strict=True):
                 words = text.split()
-                held[toxic].update({(None, w) for w in words})
-                held[toxic].update(set(zip(words, words[1:], strict=False)))
-                if len(held[0]) + len(held[1]) > PAIRS_AT_ONCE:
+                at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                held[toxic].append(np.unique(at[:-1] << 32 | at[1:]))
+                size += len(held[toxic][-1])
+                if size > PAIRS_AT_ONCE:
                     yield out()
+                    size = 0
         yield out()
 
-    texts = docs.select("toxic", "text").mapInPandas(tokenised, "toxic int, same binary, words string").dropDuplicates(["toxic", "same"])
-    return texts.select("toxic", "words").mapInPandas(events, "v string, w string, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = np.asarray(shared.value, object)
+        for b in batches:
+            pair, n = b["pair"].to_numpy(), b["n"].to_numpy()
+            yield pd.DataFrame({"v": words[pair >> 32], "w": words[pair & 0xFFFFFFFF], "n0": n & 0xFFFFFFFF, "n1": n >> 32})
+
+    texts = stored(docs.select("toxic", "text").mapInPandas(tokenised, "toxic int, same binary, words string").dropDuplicates(["toxic", "same"]).select("toxic", "words"), "toxicity-texts")
+    words = stored(texts.mapInPandas(word_events, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-words")
+    # pairs move as numbers: two places in the list of words, and both classes' counts in one long
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(r[0] for r in words.select("w").toLocalIterator()))
+    pairs = texts.mapInPandas(pair_events, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).mapInPandas(named, "v string, w string, n0 long, n1 long")
+    out = stored(words.select(F.lit(None).cast("string").alias("v"), "w", "n0", "n1").unionByName(pairs), "toxicity-counts")
+    discard(texts, words)
+    shared.destroy()
+    return out
 
 
 def kneser_ney(counts: DataFrame) -> Model | None:
@@ -211,7 +246,9 @@ def learn(docs: DataFrame, labels: DataFrame, calibration_docs: int = CALIBRATIO
     third = known.filter(F.pmod(F.xxhash64(F.lit(43), "doc_id"), F.lit(3)) == 2)
     chosen = stored(per_class_sample(third, "toxic", calibration_docs), "calibration")
     texts = docs.filter("text is not null").select("doc_id", "text")
-    events = stored(counted(texts.join(known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti"), "doc_id")), "toxicity-counts")
+    rest = stored(known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti"), "toxicity-labels")
+    events = counted(texts.join(F.broadcast(rest) if rest.count() <= BROADCAST_LABELS else rest, "doc_id"))
+    discard(rest)
     model = kneser_ney(events)
     if model is None:
         return None
