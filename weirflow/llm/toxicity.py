@@ -202,18 +202,30 @@ def kneser_ney(counts: DataFrame) -> Model | None:
         for b in batches:
             yield pd.DataFrame({"pairs": [np.column_stack((b["v"].map(get), b["w"].map(get), b["n0"], b["n1"])).astype(np.int32).tobytes()]})
 
-    got = b"".join(r[0] for r in counts.filter("v is not null").mapInPandas(packed, "pairs binary").toLocalIterator())
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = shared.value.__getitem__
+        for b in batches:
+            yield pd.DataFrame({"sums": [np.column_stack((b["v"].map(get), b["c0"], b["c1"], b["s0"], b["s1"])).astype(np.float64).tobytes()]})
+
+    # every pair counts for its context; only those that have a value of their own come here
+    pairs = counts.filter("v is not null")
+    less = {c: F.least(F.col(c).cast("double"), F.when(F.col(c) >= 3, DISCOUNTS[3]).when(F.col(c) == 2, DISCOUNTS[2]).when(F.col(c) == 1, DISCOUNTS[1]).otherwise(0.0)) for c in ("n0", "n1")}
+    of = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.sum(less["n0"]).alias("s0"), F.sum(less["n1"]).alias("s1"))
+    n, p = len(values), []
+    sums = np.zeros((n, 4))
+    for r in of.mapInPandas(contexts, "sums binary").toLocalIterator():
+        own = np.frombuffer(r[0], np.float64).reshape(-1, 5)
+        sums[own[:, 0].astype(np.int64)] = own[:, 1:]
+    got = b"".join(r[0] for r in pairs.filter(F.col("n0") + F.col("n1") >= PAIR_DOCS).mapInPandas(packed, "pairs binary").toLocalIterator())
     shared.destroy()
     v, w, *own = np.frombuffer(got, np.int32).reshape(-1, 4).T
-    n, p = len(values), []
     word_p, taken = np.asarray(word_p), np.asarray(DISCOUNTS)
     for c in (0, 1):
-        less = np.minimum(own[c], taken[np.minimum(own[c], 3)])
-        context, spared = np.bincount(v, own[c], n)[v], np.bincount(v, less, n)[v]
-        p.append(np.where(context > 0, (own[c] - less + spared * word_p[w, c]) / np.maximum(context, 1), word_p[w, c]))
+        less_own = np.minimum(own[c], taken[np.minimum(own[c], 3)])
+        context, spared = sums[v, c], sums[v, 2 + c]
+        p.append(np.where(context > 0, (own[c] - less_own + spared * word_p[w, c]) / np.maximum(context, 1), word_p[w, c]))
     keys, pair_values = v.astype(np.int64) * n + w, np.log(p[1] / p[0])
     order = np.argsort(keys)
-    order = order[(own[0] + own[1])[order] >= PAIR_DOCS]
     return Model(ids, np.asarray(values), stem_values, keys[order], pair_values[order].astype(np.float32))
 
 
