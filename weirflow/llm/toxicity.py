@@ -1,15 +1,17 @@
 """Toxicity: class-conditional Kneser-Ney models of word pairs, toxic and ordinary.
 
-Each class has interpolated Kneser-Ney estimates, from word pairs over words to word stems, whose lowest order is shared: the
-continuation counts of both classes together, so an expression that is rare says little about either class. A text's evidence is the difference of the two
-log-likelihoods, normalised by length: over the whole text, and over its most toxic stretch of a few words, so that
-one insult in a long text isn't averaged away. A logistic curve fitted on documents that the counts haven't seen maps both
-to a probability.
+Each class has interpolated Kneser-Ney estimates: word pairs by the documents that hold them, words by their continuation counts (how
+many different words they follow), then word stems, whose lowest order is shared: the words of both classes together that have a stem,
+so an expression that is rare says little about either class. A text's evidence is the difference of the two log-likelihoods, normalised
+by length: over the whole text, and over its few most toxic words, so that insults in a long text aren't averaged away. As the largest
+of many words are larger by chance, the length counts too. A logistic curve fitted on documents that the counts haven't seen maps
+these to a probability.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,9 +33,10 @@ DISCOUNTS, PAIR_DOCS = (0, 0.9, 1.5, 2.0), 3
 WORDS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 1_000_000
 #: Labels are broadcast up to this number, 24 MB; beyond it they and the texts are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Words of the stretch whose mean evidence is largest, for each of these lengths.
-STRETCHES = (1, 4, 12)
+#: The mean evidence of so many of a text's most toxic words, for each of these numbers.
+TOP = (1, 2, 4, 8)
 THRESHOLD = 0.3
+RIDGE = 1.0
 _PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>"
 
 
@@ -51,7 +54,7 @@ class Model:
 
     def __init__(self, words: dict[str, int], word_values: np.ndarray, stem_values: dict[str, float], keys: np.ndarray, values: np.ndarray):
         self.words, self.word_values, self.stem_values, self.keys, self.values = words, word_values, stem_values, keys, values
-        k = 1 + len(STRETCHES)
+        k = 2 + len(TOP)
         self.weights, self.center, self.scale = np.zeros(k + 1), np.zeros(k), np.ones(k)
 
     def unseen(self, word: str) -> float:
@@ -76,28 +79,31 @@ class Model:
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
+        """The mean evidence, that of the ``TOP`` most toxic words (those that a shorter text lacks have none), and the logarithm of the
+        length; zeros for a text without words."""
         e = self.evidence(words)
         if not len(e):
-            return np.zeros(1 + len(STRETCHES))
-        sums = np.concatenate(([0.0], np.cumsum(e)))
-        best = [float(((sums[k:] - sums[:-k]) / k).max()) for n in STRETCHES if (k := min(n, len(e)))]
-        return np.asarray([sums[-1] / len(e), *best])
+            return np.zeros(2 + len(TOP))
+        most = np.sort(np.partition(e, -TOP[-1])[-TOP[-1] :] if len(e) > TOP[-1] else e)[::-1]
+        return np.asarray([e.mean(), *(most[:k].sum() / k for k in TOP), math.log(len(e))])
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         z = ((features - self.center) / self.scale) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class _Level:
-    """One order of both classes' models: counts of events by documents, discounted in favour of a lower order."""
+def _level(n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both classes' probabilities of one order's events, from counts (events, 2) discounted in favour of a lower order, and the share
+    that each class gives to it."""
+    less = np.minimum(n, np.asarray(DISCOUNTS)[np.minimum(n, 3)])
+    total = np.maximum(1, n.sum(axis=0))
+    spare = np.where(n.any(axis=0), less.sum(axis=0) / total, 1.0)
+    return (n - less) / total + spare * lower, spare
 
-    def __init__(self, counts: tuple[Counter, Counter]):
-        self.counts = counts
-        self.total = [max(1, sum(c.values())) for c in counts]
-        self.spare = [sum(min(n, DISCOUNTS[min(n, 3)]) for n in c.values()) / t if c else 1.0 for c, t in zip(counts, self.total, strict=True)]
 
-    def probabilities(self, event, lower: tuple[float, float]) -> tuple[float, float]:
-        return tuple(max(0.0, (n := self.counts[c][event]) - DISCOUNTS[min(n, 3)]) / self.total[c] + self.spare[c] * lower[c] for c in (0, 1))
+def _summed(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of the rows of ``n`` that have the same code."""
+    return np.column_stack([np.bincount(codes, n[:, c]).astype(np.int64) for c in (0, 1)])
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -166,35 +172,33 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> Model | None:
-    """The models of ``counted`` events, without calibration: pair -> word -> stems -> continuation counts that both classes share. The
-    pairs come to the driver as packed numbers. None without words of both classes."""
-    word_n: tuple[Counter, Counter] = (Counter(), Counter())
-    for w, *n in counts.filter("v is null").select("w", "n0", "n1").toLocalIterator():
-        for c in (0, 1):
-            if n[c]:
-                word_n[c][w] = n[c]
-    if not word_n[0] or not word_n[1]:
+    """The models of ``counted`` events, without calibration: pair -> word (continuation counts) -> stems -> words of both classes by
+    stem. Pairs come to the driver as packed numbers. None without words of both classes."""
+    # how many different words a word follows; the start of a text counts only for words found nowhere else
+    follows = {c: F.greatest(F.sum(F.when(F.col("v").isNotNull() & (F.col(c) > 0), 1).otherwise(0)), F.max(F.least(F.col(c), F.lit(1)))).cast("int").alias(c) for c in ("n0", "n1")}
+    known, found = [], array("i")
+    for w, *n in counts.groupBy("w").agg(*follows.values()).toLocalIterator():
+        known.append(w)
+        found.extend(n)
+    word_n = np.frombuffer(found, np.int32).reshape(-1, 2).astype(np.int64)
+    if not word_n.any(axis=0).all():
         return None
-    known = sorted(word_n[0].keys() | word_n[1].keys())
-    stem_n: tuple[tuple[Counter, Counter], ...] = ((Counter(), Counter()), (Counter(), Counter()))
-    kinds: tuple[Counter, Counter] = (Counter(), Counter())  # continuation counts: the words of both classes that have a stem
-    for w in known:
-        for level, s in enumerate(stems(w)):
-            kinds[level][s] += 1
-            for c in (0, 1):
-                if n := word_n[c][w]:
-                    stem_n[level][c][s] += n
-    words_level, stem6, stem4 = _Level(word_n), _Level(stem_n[0]), _Level(stem_n[1])
-    of4 = {s: stem4.probabilities(s, (k / len(known),) * 2) for s, k in kinds[1].items()}
-    of6 = {s: stem6.probabilities(s, tuple(x * k / kinds[1]["4" + s[1:5]] for x in of4["4" + s[1:5]])) for s, k in kinds[0].items()}
-    spare = math.log(words_level.spare[1] / words_level.spare[0])
-    stem_values = {s: math.log(p[1] / p[0]) + spare for s, p in of6.items()} | {s: math.log(p[1] / p[0]) + spare + math.log(stem6.spare[1] / stem6.spare[0]) for s, p in of4.items()}
-    ids, word_p, values = {w: k for k, w in enumerate(known, 1)}, [(1.0, 1.0)], [0.0]
-    for w in known:
-        s = stems(w)[0]
-        p = words_level.probabilities(w, tuple(x / kinds[0][s] for x in of6[s]))
-        word_p.append(p)
-        values.append(math.log(p[1] / p[0]))
+    order = sorted(range(len(known)), key=known.__getitem__)
+    known, word_n = [known[k] for k in order], word_n[order]
+    of6, names6 = pd.factorize(np.asarray([stems(w)[0] for w in known], object))
+    of4, names4 = pd.factorize(np.asarray([stems(s[1:])[1] for s in names6], object))
+    kinds6 = np.bincount(of6)  # the words of both classes that have a stem
+    kinds4 = np.bincount(of4, kinds6)
+    stem6_n = _summed(of6, word_n)
+    p4, _ = _level(_summed(of4, stem6_n), (kinds4 / len(known))[:, None])
+    p6, spare6 = _level(stem6_n, p4[of4] * (kinds6 / kinds4[of4])[:, None])
+    word_p, spare = _level(word_n, (p6 / kinds6[:, None])[of6])
+    ratio = lambda p: np.log(p[..., 1] / p[..., 0])
+    stem_values = dict(zip(names6, (ratio(p6) + ratio(spare)).tolist(), strict=True)) | dict(zip(names4, (ratio(p4) + ratio(spare) + ratio(spare6)).tolist(), strict=True))
+    word_p = np.concatenate((np.ones((1, 2)), word_p))
+    values = ratio(word_p)
+    ids = {w: k for k, w in enumerate(known, 1)}
+    del known, order, of6, of4, names6, names4
     shared = counts.sparkSession.sparkContext.broadcast(ids)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,27 +223,28 @@ def kneser_ney(counts: DataFrame) -> Model | None:
     got = b"".join(r[0] for r in pairs.filter(F.col("n0") + F.col("n1") >= PAIR_DOCS).mapInPandas(packed, "pairs binary").toLocalIterator())
     shared.destroy()
     v, w, *own = np.frombuffer(got, np.int32).reshape(-1, 4).T
-    word_p, taken = np.asarray(word_p), np.asarray(DISCOUNTS)
+    taken = np.asarray(DISCOUNTS)
     for c in (0, 1):
         less_own = np.minimum(own[c], taken[np.minimum(own[c], 3)])
         context, spared = sums[v, c], sums[v, 2 + c]
         p.append(np.where(context > 0, (own[c] - less_own + spared * word_p[w, c]) / np.maximum(context, 1), word_p[w, c]))
     keys, pair_values = v.astype(np.int64) * n + w, np.log(p[1] / p[0])
     order = np.argsort(keys)
-    return Model(ids, np.asarray(values), stem_values, keys[order], pair_values[order].astype(np.float32))
+    return Model(ids, values, stem_values, keys[order], pair_values[order].astype(np.float32))
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
-    """Logistic regression on the features of texts that the counts haven't seen, weighted to the share ``prior`` of toxic documents."""
+    """Logistic regression on the features of texts that the counts haven't seen, weighted to the share ``prior`` of toxic documents. The
+    ``TOP`` features go together, so the ridge is wide enough to share the weight between them."""
     model.center, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.column_stack(((x - model.center) / model.scale, np.ones(len(x))))
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     w = np.zeros(z.shape[1])
-    for _ in range(50):  # Newton's method with a small ridge
+    for _ in range(50):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + 1e-2 * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w))
+        g = z.T @ (weight * (p - y)) + RIDGE * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
         change = np.linalg.solve(h, g)
         w -= change
         if np.abs(change).max() < 1e-6:
