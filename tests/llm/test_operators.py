@@ -384,10 +384,11 @@ def test_toxicity(spark, odd, empty):
 
 def test_toxicity_counts_all_pairs(spark):
     texts = [("a b a b", 1), ("a b", 0), ("a b", 0), ("rare insult", 1), ("A b, c", 0)]
-    counts = toxicity.counted(spark.createDataFrame(texts, "text string, toxic int"))
-    got = {(r["v"], r["w"]): (r["n0"], r["n1"]) for r in counts.collect()}
+    events = toxicity.counted(spark.createDataFrame(texts, "text string, toxic int"))
+    names = {k: w for w, k in events.ids.items()}
+    got = {(None, w): tuple(events.n[k - 1].tolist()) for w, k in events.ids.items()} | {(names[r["v"]], names[r["w"]]): (r["n0"], r["n1"]) for r in events.pairs.collect()}
     assert got == {(None, "a"): (2, 1), (None, "b"): (2, 1), (None, "c"): (1, 0), (None, "rare"): (0, 1), (None, "insult"): (0, 1), ("a", "b"): (2, 1), ("b", "a"): (0, 1), ("b", "c"): (1, 0), ("rare", "insult"): (0, 1)}
-    model = toxicity.kneser_ney(counts)
+    model = toxicity.kneser_ney(events)
     assert model.keys.tolist() == [model.words["a"] * len(model.word_values) + model.words["b"]]
 
 

@@ -14,6 +14,8 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -66,7 +68,7 @@ class Model:
     def evidence(self, words: list[str]) -> np.ndarray:
         """Each word's log P(word | word before, toxic) - log P(word | word before, ordinary)."""
         get = self.words.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         out = self.word_values[ids]
         for k in np.flatnonzero(ids == 0).tolist():
             out[k] = self.unseen(words[k])
@@ -106,8 +108,29 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.column_stack([np.bincount(codes, n[:, c]).astype(np.int64) for c in (0, 1)])
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs(text, toxic) -> v, w, n0, n1: in how many ordinary and toxic texts word w follows word v, or for a null v occurs.
+@dataclass
+class Events:
+    """``ids``: each word's number, from 1, those of most texts first; ``n``: in how many ordinary and toxic texts they occur, by number;
+    ``pairs``(v, w, n0, n1): in how many word w follows word v, by their numbers, a stored table."""
+
+    ids: dict[str, int]
+    n: np.ndarray
+    pairs: DataFrame
+
+
+def _numbers(df: DataFrame, dtype: type) -> Iterator[np.ndarray]:
+    """The rows of a DataFrame of numbers, packed by the tasks, as arrays."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rows": [b.to_numpy(dtype).tobytes()]})
+
+    for r in df.mapInPandas(packed, "rows binary").toLocalIterator():
+        yield np.frombuffer(r[0], dtype).reshape(-1, len(df.columns))
+
+
+def counted(docs: DataFrame) -> Events:
+    """The events of docs(text, toxic).
 
     Events count once a document, and a text that is repeated counts once, so copies aren't evidence."""
 
@@ -133,7 +156,7 @@ def counted(docs: DataFrame) -> DataFrame:
         yield out()
 
     def pair_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = {w: k for k, w in enumerate(shared.value)}
+        ids = shared.value
         held: tuple[list, list] = ([], [])
 
         def out() -> pd.DataFrame:
@@ -154,37 +177,39 @@ def counted(docs: DataFrame) -> DataFrame:
                     size = 0
         yield out()
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = np.asarray(shared.value, object)
-        for b in batches:
-            pair, n = b["pair"].to_numpy(), b["n"].to_numpy()
-            yield pd.DataFrame({"v": words[pair >> 32], "w": words[pair & 0xFFFFFFFF], "n0": n & 0xFFFFFFFF, "n1": n >> 32})
-
     texts = stored(docs.select("toxic", "text").mapInPandas(tokenised, "toxic int, same binary, words string").dropDuplicates(["toxic", "same"]).select("toxic", "words"), "toxicity-texts")
     words = stored(texts.mapInPandas(word_events, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-words")
-    # pairs move as numbers: two places in the list of words, and both classes' counts in one long
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(r[0] for r in words.select("w").toLocalIterator()))
-    pairs = texts.mapInPandas(pair_events, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).mapInPandas(named, "v string, w string, n0 long, n1 long")
-    out = stored(words.select(F.lit(None).cast("string").alias("v"), "w", "n0", "n1").unionByName(pairs), "toxicity-counts")
+    known, found = [], array("i")
+    for w, *n in words.toLocalIterator():
+        known.append(w)
+        found.extend(n)
+    n = np.asarray(found, np.int32).reshape(-1, 2)
+    order = np.argsort(-n.sum(axis=1), kind="stable")
+    ids = {known[k]: i for i, k in enumerate(order.tolist(), 1)}
+    # pairs move as numbers: those of two words, and both classes' counts in one long
+    shared = docs.sparkSession.sparkContext.broadcast(ids)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    high = lambda c: F.shiftright(c, 32).cast("int")
+    pairs = texts.mapInPandas(pair_events, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = stored(pairs.select(high("pair").alias("v"), low("pair").alias("w"), low("n").alias("n0"), high("n").alias("n1")), "toxicity-pairs")
     discard(texts, words)
     shared.destroy()
-    return out
+    return Events(ids, n[order], pairs)
 
 
-def kneser_ney(counts: DataFrame) -> Model | None:
+def kneser_ney(events: Events) -> Model | None:
     """The models of ``counted`` events, without calibration: pair -> word (continuation counts) -> stems -> words of both classes by
     stem. Pairs come to the driver as packed numbers. None without words of both classes."""
-    # how many different words a word follows; the start of a text counts only for words found nowhere else
-    follows = {c: F.greatest(F.sum(F.when(F.col("v").isNotNull() & (F.col(c) > 0), 1).otherwise(0)), F.max(F.least(F.col(c), F.lit(1)))).cast("int").alias(c) for c in ("n0", "n1")}
-    known, found = [], array("i")
-    for w, *n in counts.groupBy("w").agg(*follows.values()).toLocalIterator():
-        known.append(w)
-        found.extend(n)
-    word_n = np.frombuffer(found, np.int32).reshape(-1, 2).astype(np.int64)
-    if not word_n.any(axis=0).all():
+    ids, pairs = events.ids, events.pairs
+    if not events.n.any(axis=0).all():
         return None
-    order = sorted(range(len(known)), key=known.__getitem__)
-    known, word_n = [known[k] for k in order], word_n[order]
+    # how many different words a word follows; the start of a text counts only for words found nowhere else
+    word_n = np.minimum(events.n, 1).astype(np.int64)
+    follows = pairs.groupBy("w").agg(*[F.sum((F.col(c) > 0).cast("int")).alias(c) for c in ("n0", "n1")])
+    for own in _numbers(follows, np.int32):
+        at = own[:, 0] - 1
+        word_n[at] = np.maximum(word_n[at], own[:, 1:])
+    known = list(ids)
     of6, names6 = pd.factorize(np.asarray([stems(w)[0] for w in known], object))
     of4, names4 = pd.factorize(np.asarray([stems(s[1:])[1] for s in names6], object))
     kinds6 = np.bincount(of6)  # the words of both classes that have a stem
@@ -197,32 +222,15 @@ def kneser_ney(counts: DataFrame) -> Model | None:
     stem_values = dict(zip(names6, (ratio(p6) + ratio(spare)).tolist(), strict=True)) | dict(zip(names4, (ratio(p4) + ratio(spare) + ratio(spare6)).tolist(), strict=True))
     word_p = np.concatenate((np.ones((1, 2)), word_p))
     values = ratio(word_p)
-    ids = {w: k for k, w in enumerate(known, 1)}
-    del known, order, of6, of4, names6, names4
-    shared = counts.sparkSession.sparkContext.broadcast(ids)
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value.__getitem__
-        for b in batches:
-            yield pd.DataFrame({"pairs": [np.column_stack((b["v"].map(get), b["w"].map(get), b["n0"], b["n1"])).astype(np.int32).tobytes()]})
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value.__getitem__
-        for b in batches:
-            yield pd.DataFrame({"sums": [np.column_stack((b["v"].map(get), b["c0"], b["c1"], b["s0"], b["s1"])).astype(np.float64).tobytes()]})
-
+    del known, of6, of4, names6, names4
     # every pair counts for its context; only those that have a value of their own come here
-    pairs = counts.filter("v is not null")
     less = {c: F.least(F.col(c).cast("double"), F.when(F.col(c) >= 3, DISCOUNTS[3]).when(F.col(c) == 2, DISCOUNTS[2]).when(F.col(c) == 1, DISCOUNTS[1]).otherwise(0.0)) for c in ("n0", "n1")}
     of = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.sum(less["n0"]).alias("s0"), F.sum(less["n1"]).alias("s1"))
     n, p = len(values), []
     sums = np.zeros((n, 4))
-    for r in of.mapInPandas(contexts, "sums binary").toLocalIterator():
-        own = np.frombuffer(r[0], np.float64).reshape(-1, 5)
+    for own in _numbers(of, np.float64):
         sums[own[:, 0].astype(np.int64)] = own[:, 1:]
-    got = b"".join(r[0] for r in pairs.filter(F.col("n0") + F.col("n1") >= PAIR_DOCS).mapInPandas(packed, "pairs binary").toLocalIterator())
-    shared.destroy()
-    v, w, *own = np.frombuffer(got, np.int32).reshape(-1, 4).T
+    v, w, *own = np.concatenate([np.empty((0, 4), np.int32), *_numbers(pairs.filter(F.col("n0") + F.col("n1") >= PAIR_DOCS), np.int32)]).T
     taken = np.asarray(DISCOUNTS)
     for c in (0, 1):
         less_own = np.minimum(own[c], taken[np.minimum(own[c], 3)])
@@ -277,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, calibration_docs: int = CALIBRATIO
 
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(features, "toxic int, x array<double>").collect()
     shared.destroy()
-    discard(events, chosen)
+    discard(events.pairs, chosen)
     if {r[0] for r in rows} != {0, 1}:
         return None
     rows = sorted((r[0], r[1]) for r in rows)
