@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirflow.functions.paths import duration_seconds, valid_name, valid_path
 from weirflow.operators import dag, datums, globs, incremental, triggers, view
 from weirflow.plans.control import Engine, per_datum
-from weirflow.plans.inputs import Input, InvalidInput, Pipeline, compile_input, validate
+from weirflow.plans.inputs import Input, InvalidInput, Pipeline, compile_input, sides, validate
 from weirflow.sources.egress import EgressError, egress
 from weirflow.sources.store import Store, StoreError
 from weirflow.streaming.ingest import push_operations, size_trigger_stream
@@ -327,3 +327,111 @@ def test_size_trigger_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in triggers.size_trigger(rows, 1000).filter("fires > 0").select("pipeline", "seq", "fires").collect()}
     assert {tuple(r) for r in spark.table("fires").collect()} == want
+
+
+def test_history_in_blocks(spark):
+    rng = random.Random(7)
+    log = [(rng.choice("pq"), k, k // 3, rng.choice(["append", "append", "overwrite", "delete"]), rng.choice("abc")) for k in range(90)]
+    ops = spark.createDataFrame(log, "path string, seq long, commit_no long, kind string, content string")
+    commits = spark.range(40).withColumnRenamed("id", "commit_no")
+    want, held, todo = {}, None, [o for o in log if o[0] == "p"]
+    for c in range(40):
+        while todo and todo[0][2] <= c:
+            _, _, _, kind, text = todo.pop(0)
+            held = None if kind == "delete" else text if kind == "overwrite" else (held or "") + text
+        if held is not None:
+            want[c] = len(held)
+    for block in (1, 7, 4096):
+        assert {r["commit_no"]: r["size"] for r in view.file_history(ops, "p", commits, block=block).collect()} == want
+
+
+def test_split_headers(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    c = s.start_commit("r")
+    s.put_split(c, "d", "H1\na\nb", "\n", header=True)
+    s.put_split(c, "d", "H1\nc", "\n", header=True)
+    assert contents(s.view(c)) == {"d/0": "H1\na", "d/1": "H1\nb", "d/2": "H1\nc"}
+    s.put_split(c, "d", "H2\nw\nx\ny\nz", "\n", header=True)
+    assert contents(s.view(c)) == {"d/0": "H2\na", "d/1": "H2\nb", "d/2": "H2\nc", "d/3": "H2\nz"}
+    for text, delimiter in (("x", "\n"), ("x\ny", "")):
+        with pytest.raises(StoreError):
+            s.put_split(c, "d", text, delimiter, header=True)
+
+
+def test_size_triggers_commit_snapshots(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.create_pipeline(Pipeline("p", Input(cross=(Input("b"), Input("a", trigger_bytes=10))), standby=True))
+    assert [s.branch for s in sides(e.pipelines["p"].input)] == ["master", "p-1"] and e.pipelines["p"].state == "standby"
+    e.finish_commit(put(e, "a", x="123456"))
+    assert ("a", "p-1") not in e.store.heads and e.ledgers["p", "p-1"] == 6
+    c = put(e, "a", y="1" * 15)
+    e.finish_commit(c)
+    head = e.store.heads["a", "p-1"]
+    assert e.ledgers["p", "p-1"] == 1 and len(e.store.history(head)) == 2 and sorted(contents(e.store.view(head))) == ["x", "y"]
+    c = e.store.start_commit("a")
+    e.store.delete_file(c, "y")
+    e.store.put_file(c, "z", "1" * 9)
+    e.finish_commit(c)
+    assert sorted(contents(e.store.view(e.store.heads["a", "p-1"]))) == ["x", "y", "z"]
+    assert e.pipelines["p"].state == "standby" and len([k for k in e.store.commits.values() if k.repo == "spec"]) == 1
+    e.delete_pipeline("p")
+    assert not e.ledgers
+
+
+def test_garbage_secrets_and_reset(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path)))
+    e.create_pipeline(Pipeline("p", Input("a")))
+    first, second = put(e, "a", x="1"), put(e, "a", x="2")
+    e.finish_commit(first)
+    e.finish_commit(second)
+    e.store.put_secret("s", {"k": "v"})
+    again = Store.load(spark, str(tmp_path))
+    assert again.secret("s") == {"k": "v"}
+    e.store.delete_secret("s")
+    assert not e.store.list_secrets() and e.store.corrupt_catalog().isEmpty()
+    dropped = put(e, "a", x="3", y="4")
+    tagged = e.store.view(dropped).filter("path = 'y'").select(F.sha2("content", 256)).first()[0]
+    e.store.commits.pop(dropped)
+    e.store.put_tag("t", tagged)
+    e._queue.append(j := type(e.jobs[0])("j", "p", ()))
+    e.jobs.append(j)
+    with pytest.raises(InvalidInput):
+        e.collect_garbage()
+    e.cancel("j")
+    assert e.collect_garbage() == 2 and e.collect_garbage() == 0  # the first run's records and x of the dropped commit
+    assert contents(e.store.view(e.store.heads["p", "master"])) == {"x": "2"}
+    e.store.materialize(second, str(tmp_path / "out"))
+    assert contents(spark.read.parquet(str(tmp_path / "out"))) == {"x": "2"}
+    with pytest.raises(InvalidInput):
+        e.delete_repo("p")
+    with pytest.raises(InvalidInput):
+        e.reset()
+    e.reset(yes=True)
+    assert not e.pipelines and not e.store.repos and not Store.load(spark, str(tmp_path)).commits
+
+
+def test_put_url(spark, tmp_path):
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(302 if self.path == "/moved" else 200)
+            self.send_header("Location", "/")
+            self.end_headers()
+            self.wfile.write(b"body")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    s = Store(spark, str(tmp_path))
+    c = s.start_commit("r")
+    s.put_url(c, "x", at + "/")
+    assert s.get_file(c, "x") == "body"
+    for url, most in ((at + "/moved", 99), (at + "/", 3), ("ftp://127.0.0.1/x", 99), ("http://169.254.1.1/", 99), ("http://0.0.0.0/", 99)):
+        with pytest.raises(StoreError):
+            s.put_url(c, "x", url, most)
+    server.shutdown()

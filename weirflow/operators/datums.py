@@ -77,6 +77,12 @@ def numbered(datums: DataFrame, order: str, partition: str | None = None) -> Dat
     return placed.join(F.broadcast(base), "_p").withColumn("row_no", F.col("_base") + F.col("_k")).drop("_p", "_k", "_base")
 
 
+def assign_workers(datums: DataFrame, parallelism: int, order: str = "datum_id") -> DataFrame:
+    """Adds worker: datums in order, dealt in turn to as many workers as asked for, at most one for each datum."""
+    workers = max(1, min(parallelism, datums.count()))
+    return numbered(datums, order).withColumn("worker", F.pmod(F.col("row_no"), F.lit(workers)))
+
+
 def chunk_by_number(datums: DataFrame, number: int, order: str = "path") -> DataFrame:
     """Adds chunk: consecutive slices of ceil(n / number) in path order."""
     n = datums.count()

@@ -50,14 +50,30 @@ def listing_prefix(pattern: str) -> str:
     return pattern.split("*", 1)[0].lstrip("/")
 
 
-def file_history(ops: DataFrame, path: str, commits: DataFrame, limit: int | None = None) -> DataFrame:
-    """commit_no, size, hash of a path at each revision that has it, newest first. One path's operations are few and replayed by a window."""
+def file_history(ops: DataFrame, path: str, commits: DataFrame, limit: int | None = None, block: int = 4096) -> DataFrame:
+    """commit_no, size, hash of a path at each revision that has it, newest first.
+
+    The operations of each commit that touches the path become one row, and a window over these rows gives its state after each. The other
+    commits take the state before them, in blocks of ``block`` commit numbers: each block starts with the state that reaches into it."""
     own = ops.filter(F.col("path") == path)
-    at = commits.select("commit_no")
-    upto = own.withColumnRenamed("commit_no", "_op_commit").join(F.broadcast(at), F.col("_op_commit") <= F.col("commit_no"))
-    reset = F.max(F.when(F.col("kind") != "append", F.col("seq"))).over(Window.partitionBy("commit_no"))
-    kept = upto.withColumn("_reset", reset).filter("kind <> 'delete' and (_reset is null or seq >= _reset)")
-    out = kept.groupBy("commit_no").agg(concatenated().alias("content")).select("commit_no", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
+    reset = F.max(F.when(F.col("kind") != "append", F.col("seq")))
+    tail = own.withColumn("_reset", reset.over(Window.partitionBy("commit_no"))).filter("_reset is null or seq >= _reset")
+    live = F.col("kind") != "delete"
+    parts = tail.withColumn("_live", F.when(live, F.coalesce("content", F.lit(""))))
+    touched = parts.groupBy("commit_no").agg(concatenated("_live").alias("_text"), F.count("_live").alias("_n"), F.max("_reset").isNotNull().alias("_resets"))
+    by_commit = Window.orderBy("commit_no")
+    since = Window.partitionBy("_era").orderBy("commit_no").rowsBetween(Window.unboundedPreceding, 0)
+    states = touched.withColumn("_era", F.sum(F.col("_resets").cast("long")).over(by_commit)).withColumn("_next", F.lead("commit_no").over(by_commit))
+    text = F.array_join(F.collect_list("_text").over(since), "")
+    held = states.withColumn("_text", text).withColumn("_held", F.sum("_n").over(since) > 0)
+    state = F.struct(F.col("_held").alias("held"), F.octet_length("_text").cast("long").alias("size"), F.sha2("_text", 256).alias("hash"))
+    block_of = lambda c: F.floor(c / block)
+    last = commits.agg(F.max("commit_no").alias("_last"))
+    until = F.greatest(F.coalesce(F.col("_next") - 1, F.col("_last")), F.col("commit_no"))
+    reaching = held.select("commit_no", "_next", state.alias("_state")).crossJoin(F.broadcast(last)).select("commit_no", "_state", F.lit(0).alias("_own"), F.explode(F.sequence(block_of(F.col("commit_no")), block_of(until))).alias("_block"))
+    every = commits.select("commit_no", F.lit(None).cast(reaching.schema["_state"].dataType).alias("_state"), F.lit(1).alias("_own"), block_of(F.col("commit_no")).alias("_block"))
+    before = Window.partitionBy("_block").orderBy("commit_no", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    out = reaching.unionByName(every).withColumn("_state", F.last("_state", True).over(before)).filter((F.col("_own") == 1) & F.col("_state.held")).select("commit_no", "_state.size", "_state.hash")
     return out.orderBy(F.desc("commit_no")).limit(limit) if limit is not None and limit >= 0 else out
 
 
@@ -86,6 +102,17 @@ def copied(view: DataFrame, source: str, target: str, overwrite: bool = False) -
     return inside.withColumn("path", path).withColumn("kind", F.lit("overwrite" if overwrite else "append"))
 
 
+def changed_headers(files: DataFrame, texts: DataFrame, delimiter: str) -> DataFrame:
+    """path, content of the records of files(path, content) whose upload in texts(path, text) has another header than their record 0: the new
+    header heads what follows their first delimiter. Records are at <path>/<number>."""
+    records = files.select("path", "content", F.regexp_replace("path", "/[^/]*$", "").alias("_of"), F.substring_index("path", "/", -1).alias("_k"))
+    first = records.filter("_k = '0'").select("_of", F.substring_index("content", "\n", 1).alias("_first"))
+    heads = texts.select(F.col("path").alias("_of"), F.substring_index("text", delimiter, 1).alias("_head"))
+    at = F.instr(F.col("content"), delimiter)
+    body = F.when(at > 0, F.substring(F.col("content"), at + len(delimiter), F.length("content"))).otherwise(F.col("content"))
+    return records.join(heads.join(first, "_of").filter("_first <> _head"), "_of").select("path", F.concat("_head", F.lit(delimiter), body).alias("content"))
+
+
 def split_records(texts: DataFrame, delimiter: str, header_records: bool = False, existing: DataFrame | None = None) -> DataFrame:
     """texts(path, text) -> path, content of each record, at <path>/<number>. With ``header_records`` the first record heads every other.
 

@@ -4,12 +4,13 @@ Only names and ids are handled on the driver; files and datums are DataFrames th
 
 from __future__ import annotations
 
+import json
 import secrets
 import threading
 import uuid
 from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..operators import dag, incremental
 from ..operators.datums import numbered
-from ..operators.view import concatenated, list_files, removed_paths
+from ..operators.view import commit_delta, concatenated, list_files, removed_paths
 from ..sources.egress import egress
 from ..sources.store import Store
-from .inputs import InvalidInput, Pipeline, compile_input, has_union, sides, validate
+from .inputs import InvalidInput, Pipeline, compile_input, derive_triggers, has_union, sides, validate
 
 RECORDS = "datum_id string, hash string, outcome string, transform_hash string, datum_ord string, path string, content string"
 STATS = "job_id string, datum_id string, state string, hash string, transform_hash string, files array<string>"
@@ -56,9 +57,11 @@ class Engine:
         self._queue: deque[Job] = deque()
         self._draining = False
         self._killed: dict[str, str] = {}  # running job -> why it is to end
+        self.ledgers: dict[tuple[str, str], int] = {}  # pipeline, trigger branch -> bytes since the last firing
 
     def create_pipeline(self, p: Pipeline, update: bool = False) -> None:
         validate(p.input)
+        p.input = derive_triggers(p.name, p.input)
         if not p.input.members and p.input.repo == p.name:
             raise InvalidInput("a pipeline can't read its own output")
         old = self.pipelines.get(p.name)
@@ -72,6 +75,9 @@ class Engine:
             self.store.create_repo(p.name)
         dag.topological([(s.repo, q.name) for q in [*self.pipelines.values(), p] for s in sides(q.input)], [])
         self.pipelines[p.name] = p
+        if p.standby and p.state == "running":
+            p.state = "standby"
+        self._write_spec(p)
         self._schedule(p)
         self._drain()
 
@@ -80,6 +86,47 @@ class Engine:
             raise InvalidInput(f"another pipeline reads {name}")
         del self.pipelines[name]
         self.records.pop(name, None)
+        self.ledgers = {k: v for k, v in self.ledgers.items() if k[0] != name}
+        for j in [j for j in self._queue if j.pipeline == name]:
+            self.cancel(j.job_id)
+
+    def delete_repo(self, name: str, force: bool = False) -> None:
+        if not force and name in self.pipelines:
+            raise InvalidInput(f"{name} is a pipeline's output")
+        self.store.delete_repo(name)
+
+    def _busy(self) -> None:
+        job = next((j for j in self.jobs if not j.settled), None)
+        if job:
+            raise InvalidInput(f"job {job.job_id} of {job.pipeline} is {job.state}")
+
+    def collect_garbage(self) -> int:
+        """Deletes operations that no commit lists and records that no pipeline uses, while no job is queued or running."""
+        self._busy()
+        kept = set(self.records.values())
+        loose = [f for f in self.store._folders("records/*") if not any(f.endswith(k[len(self.store.root) :]) for k in kept)]
+        for folder in loose:
+            self.store._drop(folder)
+        return len(loose) + self.store.collect_garbage()
+
+    def reset(self, yes: bool = False) -> None:
+        """Deletes everything, if confirmed and the catalog can be read."""
+        if not yes:
+            raise InvalidInput("a reset needs yes")
+        self._busy()
+        if self.store._folders("catalog") and not self.store.corrupt_catalog().isEmpty():
+            raise InvalidInput("the catalog is damaged")
+        for folder in ("catalog", "ops", "records"):
+            self.store._drop(f"{self.store.root}/{folder}")
+        self.store.__init__(self.spark, self.store.root)
+        self.__init__(self.store)
+
+    def _write_spec(self, p: Pipeline) -> None:
+        """One commit of the repository ``spec`` for each definition."""
+        spec = {"name": p.name, "version": p.version, "input": asdict(p.input), "transform": p.transform_key, "reprocess": p.reprocess, "egress": p.egress, "stats": p.stats, "job_timeout": p.job_timeout, "standby": p.standby}
+        commit = self.store.start_commit("spec", description=f"pipeline {p.name} v{p.version}")
+        self.store.put_file(commit, "spec.json", json.dumps(spec), "overwrite")
+        self.store.finish_commit(commit)
 
     def transaction(self, pipelines: list[Pipeline], expected: dict[str, int] | None = None) -> None:
         """All or none: created in topological order, their jobs run after the last. On an error pipelines, records, repositories and jobs are
@@ -90,12 +137,15 @@ class Engine:
                 raise InvalidInput(f"pipeline {name} was changed outside of the transaction")
         order = dag.topological([(s.repo, p.name) for p in pipelines for s in sides(p.input)], [p.name for p in pipelines])
         before = dict(self.pipelines), dict(self.records), dict(self.store.repos), list(self.jobs), deque(self._queue)
+        commits, branch_heads = dict(self.store.commits), dict(self.store.heads)
         draining, self._draining = self._draining, True
         try:
             for p in sorted(pipelines, key=lambda p: order.index(p.name)):
                 self.create_pipeline(p, update=p.name in self.pipelines)
         except Exception:
             self.pipelines, self.records, self.store.repos, self.jobs, self._queue = before
+            self.store.commits, self.store.heads = commits, branch_heads
+            self.store._publish()
             raise
         finally:
             self._draining = draining
@@ -109,7 +159,7 @@ class Engine:
         """Runs one job over the heads, if commits came while it was stopped or no job has seen them."""
         p = self.pipelines[name]
         heads = self._heads(p)
-        p.state = "running"
+        p.state = "standby" if p.standby else "running"
         if tuple(heads.values()) != p.stopped_at or not any(j.pipeline == name and j.heads == heads for j in self.jobs):
             self._schedule(p)
         p.stopped_at = None
@@ -186,6 +236,24 @@ class Engine:
         for p in self.pipelines.values():
             if any((s.repo, s.branch) == (c.repo, c.branch) for s in sides(p.input)):
                 self._schedule(p)
+        for p in list(self.pipelines.values()):
+            for s in sides(p.input):
+                if s.trigger_bytes > 0 and (s.repo, s.trigger_branch) == (c.repo, c.branch):
+                    self._trigger((p.name, s.branch), s.trigger_bytes, commit)
+
+    def _trigger(self, ledger: tuple[str, str], threshold: int, commit: str) -> None:
+        """Adds a commit's new bytes to the ledger. For each threshold in it one commit on the trigger's branch overwrites the files of the
+        whole current view; deleted ones stay there."""
+        c = self.store.commits[commit]
+        files = lambda at: list_files(self.store.view(at))
+        before = files(c.parent_id) if c.parent_id else files(commit).limit(0)
+        added = commit_delta(before, files(commit)).agg(F.coalesce(F.sum("delta"), F.lit(0))).first()[0]
+        fires, self.ledgers[ledger] = divmod(self.ledgers.get(ledger, 0) + added, threshold)
+        for _ in range(fires):
+            snapshot = self.store.start_commit(c.repo, ledger[1])
+            self.store.put(snapshot, self.store.view(commit).select("path", "content"), "overwrite")
+            self.store.finish_commit(snapshot)
+            self._finished(snapshot)
 
     def _heads(self, p: Pipeline) -> dict[tuple[str, str], str | None]:
         return {(i.repo, i.branch): self.store.heads.get((i.repo, i.branch)) for i in sides(p.input)}
@@ -194,7 +262,7 @@ class Engine:
         """A job over the current heads, unless it is stopped, they disagree on a source, or the same job exists."""
         heads = self._heads(p)
         inputs = tuple(dict.fromkeys(h for h in heads.values() if h))
-        if not inputs or p.state != "running" or not self.consistent(inputs):
+        if not inputs or p.state == "stopped" or not self.consistent(inputs):
             return
         if any(j.pipeline == p.name and j.heads == heads and j.state in ("queued", "running") for j in self.jobs):
             return
@@ -218,7 +286,13 @@ class Engine:
         self._draining = True
         try:
             while self._queue:
-                self._run(self._queue.popleft())
+                job = self._queue.popleft()
+                p = self.pipelines[job.pipeline]
+                if p.state == "standby":
+                    p.state = "running"
+                self._run(job)
+                if p.standby and p.state == "running" and not any(j.pipeline == p.name for j in self._queue):
+                    p.state = "standby"
         finally:
             self._draining = False
 

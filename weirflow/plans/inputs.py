@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -34,6 +34,8 @@ class Input:
     group: tuple[Input, ...] = ()
     cron: str = ""
     trigger_bytes: int = 0
+    #: The branch that a size trigger watches; ``branch`` is then the one that its snapshots go to.
+    trigger_branch: str = ""
 
     @property
     def kind(self) -> str:
@@ -48,6 +50,21 @@ class Input:
         return self.name or "".join(c if c.isalnum() and c.isascii() or c == "_" else "_" for c in self.repo)
 
 
+def derive_triggers(name: str, tree: Input) -> Input:
+    """The input with each size trigger on a branch of its own, <name>-<position>: in post-order over crosses and unions."""
+    position = 0
+
+    def walk(i: Input) -> Input:
+        nonlocal position
+        own = {k: tuple(walk(m) for m in getattr(i, k)) for k in ("cross", "union") if getattr(i, k)}
+        if i.trigger_bytes > 0:
+            own |= {"trigger_branch": i.trigger_branch or i.branch, "branch": f"{name}-{position}"}
+        position += 1
+        return replace(i, **own)
+
+    return walk(tree)
+
+
 def sides(i: Input) -> Iterator[Input]:
     """The repositories of an input, in declaration order."""
     if i.kind == "repo" or i.kind == "cron":
@@ -157,11 +174,16 @@ def _compile(i: Input, files: Files) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def copy_files(rows: DataFrame) -> DataFrame:
+    """The transform of a pipeline that names none: each side's files as they are."""
+    return rows.select("datum_id", "path", "content")
+
+
 @dataclass
 class Pipeline:
     name: str
     input: Input
-    transform: Callable[[DataFrame], DataFrame]
+    transform: Callable[[DataFrame], DataFrame] = copy_files
     transform_key: str = ""
     reprocess: bool = False
     version: int = 1
@@ -171,3 +193,5 @@ class Pipeline:
     job_timeout: float | None = None
     history: list[str] = field(default_factory=list)
     stopped_at: tuple[str | None, ...] | None = None
+    #: Whether its state is ``standby`` while it has no job.
+    standby: bool = False

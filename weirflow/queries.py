@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.paths import basename, human_size, identifier, memory_bytes, version_key
@@ -212,6 +212,18 @@ def split_header_change(spark, d):
     return view.split_records(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "\n", header_records=True)
 
 
+_CHILDREN = """held AS (SELECT CAST(o_custkey AS VARCHAR) AS parent, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, o_custkey % 2 AS h, o_orderpriority AS rec FROM orders)"""
+
+
+@query("split_header_rewrite", f"WITH {_CHILDREN} SELECT parent || '/' || CAST(k AS VARCHAR) AS path, 'h1' || chr(10) || rec AS content FROM held WHERE h = 0")
+def split_header_rewrite(spark, d):
+    o = table(spark, d, "orders")
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    held = o.select(F.concat_ws("/", F.col("o_custkey").cast("string"), k.cast("string")).alias("path"), F.concat(F.lit("h"), (F.col("o_custkey") % 2).cast("string"), F.lit("\n"), "o_orderpriority").alias("content"))
+    uploads = o.select(F.col("o_custkey").cast("string").alias("path"), F.lit("h1\nnew").alias("text")).distinct()
+    return view.changed_headers(held, uploads, "\n")
+
+
 # ---- globs and datums ----
 
 
@@ -411,6 +423,11 @@ def stats_records(spark, d):
     return rows.select(F.lpad(F.col("row_no").cast("string"), 6, "0").alias("path"), F.to_json(F.struct("datum_id", "state", "ms")).alias("record"))
 
 
+@query("worker_round_robin", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS BIGINT) AS worker FROM orders")
+def worker_round_robin(spark, d):
+    return datums.assign_workers(table(spark, d, "orders").select("o_orderkey"), 7, "o_orderkey").select("o_orderkey", "worker")
+
+
 # ---- provenance and scheduling ----
 
 _PAIRS = "c AS (SELECT event_id AS seq, 'p' || CAST(user_id % 10 AS VARCHAR) AS pipeline, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS side, 'c' || CAST(event_id AS VARCHAR) AS commit_id FROM events)"

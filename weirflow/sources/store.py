@@ -5,9 +5,13 @@ rows, one folder for each batch, listed by the commit that they belong to. A com
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import secrets
+import socket
 import time
+import urllib.parse
+import urllib.request
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -38,6 +42,30 @@ class Commit:
     created: float = 0.0
 
 
+def fetched(url: str, most: int) -> bytes:
+    parts = urllib.parse.urlsplit(url)
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        raise StoreError(f"not an http or https address: {url!r}")
+    port = parts.port or (443 if parts.scheme == "https" else 80)
+    for *_, address in socket.getaddrinfo(parts.hostname, port, type=socket.SOCK_STREAM):
+        ip = ipaddress.ip_address(address[0].split("%")[0])
+        if ip.is_link_local or ip.is_multicast or ip.is_unspecified:
+            raise StoreError(f"address {ip} isn't allowed")
+
+    class Refuse(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *args):
+            return None
+
+    try:
+        with urllib.request.build_opener(Refuse, urllib.request.ProxyHandler({})).open(url, timeout=60) as answer:
+            body = answer.read(most + 1)
+    except OSError as error:
+        raise StoreError(f"{url}: {error}") from error
+    if len(body) > most:
+        raise StoreError(f"{url}: over {most} bytes")
+    return body
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -112,10 +140,24 @@ class Store:
         self.put(commit, self.spark.createDataFrame([(path,)], "path string"), "delete")
 
     def put_split(self, commit: str, path: str, text: str, delimiter: str, header: bool = False) -> None:
-        n = self.view(commit).filter(F.col("path").startswith(path + "/")).count()
+        """Records go on after those that the path has. Under another header those are rewritten in place, and the upload only adds the records
+        beyond their number."""
+        if not delimiter or header and delimiter not in text:
+            raise StoreError("a split needs a delimiter, one with a header needs it in the text")
+        held = self.view(commit).filter(F.col("path").startswith(path + "/"))
+        n = held.count()
         texts = self.spark.createDataFrame([(path, text)], "path string, text string")
-        existing = self.spark.createDataFrame([(path, n)], "path string, n int")
-        self.put(commit, view.split_records(texts, delimiter, header, existing), "overwrite")
+        rewritten = view.changed_headers(held, texts, delimiter)
+        if header and n and not rewritten.isEmpty():
+            self.put(commit, rewritten, "overwrite")
+            added = view.split_records(texts, delimiter, header).filter(F.substring_index("path", "/", -1).cast("long") >= n)
+        else:
+            added = view.split_records(texts, delimiter, header, self.spark.createDataFrame([(path, n)], "path string, n int"))
+        self.put(commit, added, "overwrite")
+
+    def put_url(self, commit: str, path: str, url: str, most: int = 1 << 30) -> None:
+        """The body that http or https gives at ``url``, without following redirects, from no link-local, multicast or unspecified address."""
+        self.put_file(commit, path, fetched(url, most).decode())
 
     def copy(self, commit: str, target: str, source_commit: str, source: str, overwrite: bool = False) -> None:
         rows = view.copied(self.view(source_commit).select("path", "content"), source, target, overwrite)
@@ -169,8 +211,43 @@ class Store:
         return commit
 
     def _publish(self) -> None:
-        state = {"commits": [asdict(c) for c in self.commits.values()], "heads": [[*k, v] for k, v in self.heads.items()], "repos": self.repos, "tags": self.tags}
+        """A snapshot of the catalog. The last two stay, so one that was cut off leaves the one before it."""
+        state = {"commits": [asdict(c) for c in self.commits.values()], "heads": [[*k, v] for k, v in self.heads.items()], "repos": self.repos, "tags": self.tags, "secrets": self.secrets}
         self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{self.root}/catalog/{time.time_ns():020d}")
+        for old in self._folders("catalog")[:-2]:
+            self._drop(old)
+
+    def _folders(self, pattern: str) -> list[str]:
+        """Paths below the root that match, in order."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}/*")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(s.getPath().toString() for s in found or [])
+
+    def _drop(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def collect_garbage(self, pattern: str = "ops/*") -> int:
+        """Deletes the operations that no commit lists, but for those whose content a tag names; the number of folders."""
+        used = {b.rsplit("/", 1)[1] for c in self.commits.values() for b in c.batches}
+        loose = [f for f in self._folders(pattern) if f.rsplit("/", 1)[1] not in used]
+        if loose and self.tags:
+            rows = self.spark.read.schema(FILE_OPS).parquet(*loose).select("sha", F.input_file_name().alias("file"))
+            tagged = rows.join(self.tag_table().select(F.col("ref").alias("sha")), "sha", "left_semi").select(F.element_at(F.split("file", "/"), -2).alias("folder")).distinct()
+            kept = {r["folder"] for r in tagged.collect()}  # one name for each folder at most
+            loose = [f for f in loose if f.rsplit("/", 1)[1] not in kept]
+        for folder in loose:
+            self._drop(folder)
+        return len(loose)
+
+    def corrupt_catalog(self) -> DataFrame:
+        """id, json of the snapshots that can't be read."""
+        lines = self.spark.read.text(f"{self.root}/catalog/*").select(F.input_file_name().alias("id"), F.col("value").alias("json"))
+        return catalog.corrupt_records(lines, "commits array<struct<commit_id:string,repo:string>>, repos map<string,string>")
+
+    def materialize(self, commit: str, target: str, prefix: str = "") -> None:
+        """path, content of the files below ``prefix``, as Parquet."""
+        self.view(commit).filter(F.col("path").startswith(prefix)).select("path", "content").write.mode("overwrite").parquet(target)
 
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> Store:
@@ -184,7 +261,7 @@ class Store:
         state = json.loads(rows["value"])
         store.commits = {c["commit_id"]: Commit(**c) for c in state["commits"]}
         store.heads = {(r, b): h for r, b, h in state["heads"]}
-        store.repos, store.tags = state["repos"], [tuple(t) for t in state["tags"]]
+        store.repos, store.tags, store.secrets = state["repos"], [tuple(t) for t in state["tags"]], state.get("secrets", {})
         return store
 
     def repo_size(self, repo: str) -> int:
@@ -213,6 +290,17 @@ class Store:
         if not valid_name(name):
             raise StoreError(f"invalid name {name!r}")
         self.secrets[name] = dict(data)
+        self._publish()
+
+    def secret(self, name: str) -> dict[str, str]:
+        if name not in self.secrets:
+            raise StoreError(f"no secret {name}")
+        return dict(self.secrets[name])
+
+    def delete_secret(self, name: str) -> None:
+        self.secret(name)
+        del self.secrets[name]
+        self._publish()
 
     def list_secrets(self) -> list[str]:
         return sorted(self.secrets)
