@@ -435,3 +435,17 @@ def test_put_url(spark, tmp_path):
         with pytest.raises(StoreError):
             s.put_url(c, "x", url, most)
     server.shutdown()
+
+
+def test_numbering_of_many_rows(spark):
+    rows = spark.range(0, 200_000, 1, 8).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    got = datums.numbered(rows, "k").select("row_no", "k", F.crc32("text")).toPandas().sort_values("row_no")
+    assert got["row_no"].tolist() == list(range(200_000)) and got["k"].is_monotonic_increasing
+
+
+def test_numbering_puts_nulls_last(spark):
+    rows = spark.createDataFrame([(None, 1), (2, None), (1, 7), (2, 5), (None, None)], "a long, b long")
+    want = [(1, 7), (2, 5), (2, None), (None, 1), (None, None)]
+    assert [(r["a"], r["b"]) for r in datums.numbered(rows, ["a", "b"]).orderBy("row_no").collect()] == want
+    assert [r["row_no"] for r in datums.numbered(rows.withColumn("p", F.lit(0)), ["a", "b"], "p").orderBy("row_no").collect()] == list(range(5))
+    assert datums.numbered(rows.limit(0), ["a", "b"]).count() == 0

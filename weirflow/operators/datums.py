@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .view import concatenated
 
+#: Slices of a numbering, about: so many keys are sent with every row as their bounds. Each is the last of so many keys drawn.
+SLICES, DRAWN = 256, 16
+
 
 def cross(sides: list[tuple[str, DataFrame]]) -> DataFrame:
     """sides: (name, df(path)) in order -> one row for each combination: datum_id and a column for each name. The product is the semantics;
@@ -66,15 +69,29 @@ def cross_paths(a: tuple[str, DataFrame], b: tuple[str, DataFrame]) -> DataFrame
     return left.unionByName(pairs.select(F.concat(F.lit(nb + "/"), "pb").alias("path"), F.col("cb").alias("content")))
 
 
-def numbered(datums: DataFrame, order: str, partition: str | None = None) -> DataFrame:
-    """Adds row_no, from 0, in the order of ``order``, without one task that holds all rows: a range-partitioned sort, counts of each partition
-    and their running total, which has a row for each partition."""
+def _order_key(order: str | list[str]) -> Column:
+    """One comparable column of all columns of ``order``, nulls last as in SQL."""
+    return F.struct(*[x for k, c in enumerate([order] if isinstance(order, str) else order) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))])
+
+
+def numbered(datums: DataFrame, order: str | list[str], partition: str | None = None) -> DataFrame:
+    """Adds row_no, from 0, in the order of ``order`` (nulls last), without one task that holds all rows: each row's slice between bounds, its
+    number there, and the running total of the slices' counts. The rows are read more than once, and a sampling range partitioner
+    may cut them differently each time; so the bounds come from the keys of least hash, and a row's slice depends on its key alone."""
     if partition:
-        return datums.withColumn("row_no", F.row_number().over(Window.partitionBy(partition).orderBy(order)).cast("long") - 1)
-    placed = datums.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))
-    return placed.join(F.broadcast(base), "_p").withColumn("row_no", F.col("_base") + F.col("_k")).drop("_p", "_k", "_base")
+        return datums.withColumn("_key", _order_key(order)).withColumn("row_no", F.row_number().over(Window.partitionBy(partition).orderBy("_key")).cast("long") - 1).drop("_key")
+    rows = datums.withColumn("_key", _order_key(order))
+    drawn = rows.select("_key").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all"))))
+    drawn = drawn.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) * F.col("_all").cast("double") < float(SLICES * DRAWN << 30))
+    bounds = drawn.agg(F.filter(F.array_sort(F.collect_set("_key")), lambda _, k: k % DRAWN == DRAWN - 1).alias("_bounds"))
+    # binary search: how many bounds the key has reached
+    reached = lambda k: (k <= F.size("_bounds")) & (F.get("_bounds", k - 1) <= F.col("_key"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(SLICES.bit_length() + 1))])
+    sliced = rows.crossJoin(F.broadcast(bounds)).withColumn("_slice", F.aggregate(steps, F.lit(0), lambda k, step: F.when(reached(k + step), k + step).otherwise(k))).drop("_bounds")
+    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
+    base = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_base"))
+    placed = sliced.withColumn("_k", F.row_number().over(Window.partitionBy("_slice").orderBy("_key")))
+    return placed.join(F.broadcast(base), "_slice").withColumn("row_no", F.col("_base") + F.col("_k") - 1).drop("_slice", "_key", "_k", "_base")
 
 
 def assign_workers(datums: DataFrame, parallelism: int, order: str = "datum_id") -> DataFrame:

@@ -533,8 +533,8 @@ def logs_by_datum(spark, d):
 
 @query("logs_global_order", "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_no, conv_id, turn, role FROM conversations")
 def logs_global_order(spark, d):
-    rows = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("o"), "role")
-    return datums.numbered(rows, "o").select("row_no", "o.conv_id", "o.turn", "role")
+    # the SQL leaves rows of the same turn in any order; here their role decides
+    return datums.numbered(table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn", "role"]).select("row_no", "conv_id", "turn", "role")
 
 
 @query("gc_unreferenced", "SELECT DISTINCT sha256(text) AS sha FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 <> 0) AND sha256(text) NOT IN (SELECT sha256(text) FROM benchmark)")
