@@ -30,3 +30,11 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.execute(SQL[name]).df())
     else:
         assert len(got)
+
+
+def test_stats_records_of_many_jobs_and_nulls(spark, duck, tmp_path):
+    events = f"{tmp_path}/events.parquet"
+    copies = f"SELECT e.* REPLACE (e.event_id + 1000 * r.k AS event_id) FROM '{SF}/events.parquet' e, range(200) r(k)"
+    duck.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id <> 7 THEN event_id END AS event_id, CASE WHEN event_id % 10 <> 3 THEN value END AS value) FROM ({copies})) TO '{events}'")
+    got = QUERIES["stats_records"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(duck.execute(SQL["stats_records"].replace("FROM events", f"FROM '{events}'")).df())

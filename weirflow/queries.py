@@ -420,7 +420,7 @@ def failure_reasons(spark, d):
 @query("stats_records", f"WITH {JOBS} SELECT lpad(CAST(row_number() OVER (ORDER BY job_id) - 1 AS VARCHAR), 6, '0') AS path, CAST(json_object('datum_id', datum_id, 'state', state, 'ms', ms) AS VARCHAR) AS record FROM jobs")
 def stats_records(spark, d):
     rows = datums.numbered(jobs(spark, d).select("job_id", "datum_id", "state", "ms"), "job_id")
-    return rows.select(F.lpad(F.col("row_no").cast("string"), 6, "0").alias("path"), F.to_json(F.struct("datum_id", "state", "ms")).alias("record"))
+    return rows.select(F.lpad(F.col("row_no").cast("string"), 6, "0").alias("path"), F.to_json(F.struct("datum_id", "state", "ms"), {"ignoreNullFields": "false"}).alias("record"))
 
 
 @query("worker_round_robin", "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS BIGINT) AS worker FROM orders")
