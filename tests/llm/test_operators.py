@@ -1,8 +1,10 @@
 """Operators against brute force, exact round trips and held-out accuracy, on small tables with nulls, empty texts and repeated rows."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -464,3 +466,27 @@ def test_toxicity_counts_more_documents_than_it_calibrates_on(spark):
     docs = spark.createDataFrame([(k, f"word{k} common {'insult' if k % 2 else 'praise'}", k % 2) for k in range(400)], "doc_id long, text string, toxic int")
     model = toxicity.learn(docs, docs.select("doc_id", "toxic"), 20)
     assert sum(w.startswith("word") for w in model.words) > 230
+
+
+def test_toxicity_table_is_a_small_dict(monkeypatch):
+    words = [f"w\u00f6rd{k}" for k in range(20_000)]
+    table = pickle.loads(pickle.dumps(toxicity.Table(words, np.arange(1, 20_001), absent=0)))
+    assert dict(table) == {w: k for k, w in enumerate(words, 1)} and table.get("none") is None and table.of(["none", *words]).tolist() == list(range(20_001))
+    assert len(pickle.dumps(table)) < 800_000 and isinstance(toxicity.Model({}, np.zeros(1), {}, np.empty(0, np.int64), np.empty(0)).words, toxicity.Table)
+    monkeypatch.setattr(toxicity.xxhash, "xxh64_intdigest", lambda raw: len(raw))
+    monkeypatch.setattr(toxicity, "RECENT", 3)
+    table = toxicity.Table(words[:300], np.arange(300.0))
+    assert [table.get(w) for w in words[:301]] == [*range(300), None] and table.of(words[:300]).tolist() == list(range(300))
+
+
+def test_toxicity_model_takes_little_of_the_driver(spark):
+    n = 100_000
+    texts = spark.range(0, n, 5_000).select(F.col("id").cast("int").alias("k")).select(F.array_join(F.transform(F.sequence("k", F.col("k") + 4_999), lambda k: F.sha1(k.cast("string")).substr(1, 9)), " ").alias("text"), (F.col("k") / 5_000 % 2).cast("int").alias("toxic"))
+    tracemalloc.start()
+    try:
+        model = toxicity.kneser_ney(toxicity.counted(texts))
+        held, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(model.words) > 0.99 * n
+    assert held < 150 * n and most < 400 * n, (held / n, most / n)

@@ -13,9 +13,8 @@ from __future__ import annotations
 import math
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,6 +34,8 @@ DISCOUNTS, PAIR_DOCS = (0, 0.9, 1.5, 2.0), 3
 WORDS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 1_000_000
 #: Labels are broadcast up to this number, 24 MB; beyond it they and the texts are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Answers that a ``Table`` keeps at hand.
+RECENT = 100_000
 #: The mean evidence of so many of a text's most toxic words, for each of these numbers.
 TOP = (1, 2, 4, 8)
 THRESHOLD = 0.3
@@ -51,11 +52,105 @@ def stems(word: str) -> tuple[str, str]:
     return "6" + word[:6], "4" + word[:4]
 
 
+class _Recent(dict):
+    """The latest answers of a table, ``absent`` for keys that it hasn't. Emptied when full."""
+
+    def __init__(self, table: Table):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, key: str) -> float | None:
+        if len(self) >= RECENT:
+            self.clear()
+        at = self.table.find(key)
+        self[key] = found = self.table.absent if at is None else self.table.values[at].item()
+        return found
+
+
+class Table(Mapping):
+    """Text -> number in a few arrays, about 30 bytes a key, not the 200 of a dict: the keys' UTF-8 in one buffer, found by their sorted
+    hashes, then compared. ``values`` are in the order of ``keys``, which differ; ``absent`` stands for other keys in ``of`` and ``get``."""
+
+    def __init__(self, keys: Iterable[str], values: np.ndarray | None = None, absent: float | None = None):
+        self.text, ends, hashes = bytearray(), array("q", [0]), array("Q")
+        for key in keys:
+            self.text += (raw := key.encode())
+            ends.append(len(self.text))
+            hashes.append(xxhash.xxh64_intdigest(raw))
+        self.ends, hashes = np.asarray(ends, np.int64), np.asarray(hashes, np.uint64)
+        self.order = np.argsort(hashes).astype(np.uint32)
+        self.hashes = hashes[self.order]
+        self.values, self.absent, self.recent = values, absent, _Recent(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "recent"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, recent=_Recent(self))
+
+    def key(self, at: int) -> bytes:
+        return bytes(self.text[self.ends[at] : self.ends[at + 1]])
+
+    def find(self, key: str) -> int | None:
+        """The place of a key."""
+        raw = key.encode()
+        h = np.uint64(xxhash.xxh64_intdigest(raw))
+        k = int(self.hashes.searchsorted(h))
+        while k < len(self.hashes) and self.hashes[k] == h:
+            if self.key(at := int(self.order[k])) == raw:
+                return at
+            k += 1
+        return None
+
+    def _look_up(self, keys: list[str]) -> None:
+        """Puts keys at hand, all with one search."""
+        raws = [key.encode() for key in keys]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, raws), np.uint64, len(raws))
+        at = np.minimum(self.hashes.searchsorted(h), len(self) - 1)
+        place = self.order[at].astype(np.int64)
+        for key, raw, known, start, end, value in zip(keys, raws, (self.hashes[at] == h).tolist(), self.ends[place].tolist(), self.ends[place + 1].tolist(), self.values[place].tolist(), strict=True):
+            if not known:
+                self.recent[key] = self.absent
+            elif self.text[start:end] == raw:
+                self.recent[key] = value
+            else:
+                self.recent[key]  # another key has its hash: compares all that have
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        if len(self):
+            new = {key for key in keys if key not in self.recent}
+            if len(self.recent) + len(new) > RECENT:
+                self.recent.clear()
+                new = set(keys)
+            self._look_up(list(new))
+        return np.fromiter(map(self.recent.__getitem__, keys), self.values.dtype, len(keys))
+
+    def get(self, key: str, default: float | None = None) -> float | None:
+        found = self.recent[key]
+        return default if found is self.absent else found
+
+    def __getitem__(self, key: str) -> float:
+        if (at := self.find(key)) is None:
+            raise KeyError(key)
+        return self.values[at].item()
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.key(k).decode() for k in range(len(self)))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+def _table(d: Mapping, dtype: type, absent: float | None) -> Table:
+    return d if isinstance(d, Table) else Table(d, np.fromiter(d.values(), dtype, len(d)), absent)
+
+
 class Model:
     """Log-likelihood differences of known pairs (``keys``, ``values``), words and stems."""
 
-    def __init__(self, words: dict[str, int], word_values: np.ndarray, stem_values: dict[str, float], keys: np.ndarray, values: np.ndarray):
-        self.words, self.word_values, self.stem_values, self.keys, self.values = words, word_values, stem_values, keys, values
+    def __init__(self, words: Mapping[str, int], word_values: np.ndarray, stem_values: Mapping[str, float], keys: np.ndarray, values: np.ndarray):
+        self.words, self.stem_values = _table(words, np.int64, 0), _table(stem_values, np.float64, None)
+        self.word_values, self.keys, self.values = word_values, keys, values
         k = 2 + len(TOP)
         self.weights, self.center, self.scale = np.zeros(k + 1), np.zeros(k), np.ones(k)
 
@@ -67,8 +162,7 @@ class Model:
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Each word's log P(word | word before, toxic) - log P(word | word before, ordinary)."""
-        get = self.words.get
-        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+        ids = self.words.of(words)
         out = self.word_values[ids]
         for k in np.flatnonzero(ids == 0).tolist():
             out[k] = self.unseen(words[k])
@@ -110,10 +204,10 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Events:
-    """``ids``: each word's number, from 1, those of most texts first; ``n``: in how many ordinary and toxic texts they occur, by number;
+    """``ids``: each word's number, from 1, those of most texts first (0: no word of these); ``n``: in how many ordinary and toxic texts they occur, by number;
     ``pairs``(v, w, n0, n1): in how many word w follows word v, by their numbers, a stored table."""
 
-    ids: dict[str, int]
+    ids: Table
     n: np.ndarray
     pairs: DataFrame
 
@@ -169,7 +263,7 @@ def counted(docs: DataFrame) -> Events:
         for b in batches:
             for toxic, text in zip(b["toxic"], b["words"], strict=True):
                 words = text.split()
-                at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                at = ids.of(words)
                 held[toxic].append(np.unique(at[:-1] << 32 | at[1:]))
                 size += len(held[toxic][-1])
                 if size > PAIRS_AT_ONCE:
@@ -179,13 +273,18 @@ def counted(docs: DataFrame) -> Events:
 
     texts = stored(docs.select("toxic", "text").mapInPandas(tokenised, "toxic int, same binary, words string").dropDuplicates(["toxic", "same"]).select("toxic", "words"), "toxicity-texts")
     words = stored(texts.mapInPandas(word_events, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-words")
-    known, found = [], array("i")
-    for w, *n in words.toLocalIterator():
-        known.append(w)
-        found.extend(n)
+    found = array("i")
+
+    def known() -> Iterator[str]:
+        for w, *n in words.toLocalIterator():
+            found.extend(n)
+            yield w
+
+    ids = Table(known(), absent=0)
     n = np.asarray(found, np.int32).reshape(-1, 2)
     order = np.argsort(-n.sum(axis=1), kind="stable")
-    ids = {known[k]: i for i, k in enumerate(order.tolist(), 1)}
+    ids.values = np.empty(len(ids), np.int64)
+    ids.values[order] = np.arange(1, len(ids) + 1)
     # pairs move as numbers: those of two words, and both classes' counts in one long
     shared = docs.sparkSession.sparkContext.broadcast(ids)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
@@ -209,36 +308,45 @@ def kneser_ney(events: Events) -> Model | None:
     for own in _numbers(follows, np.int32):
         at = own[:, 0] - 1
         word_n[at] = np.maximum(word_n[at], own[:, 1:])
-    known = list(ids)
-    of6, names6 = pd.factorize(np.asarray([stems(w)[0] for w in known], object))
-    of4, names4 = pd.factorize(np.asarray([stems(s[1:])[1] for s in names6], object))
+    codes: dict[str, int] = {}
+    of6 = np.empty(len(ids), np.int32)
+    of6[ids.values - 1] = np.fromiter((codes.setdefault(stems(w)[0], len(codes)) for w in ids), np.int32, len(ids))
+    names6, codes = list(codes), {}
+    of4 = np.fromiter((codes.setdefault(stems(s[1:])[1], len(codes)) for s in names6), np.int32, len(names6))
+    names4 = list(codes)
     kinds6 = np.bincount(of6)  # the words of both classes that have a stem
     kinds4 = np.bincount(of4, kinds6)
     stem6_n = _summed(of6, word_n)
-    p4, _ = _level(_summed(of4, stem6_n), (kinds4 / len(known))[:, None])
+    p4, _ = _level(_summed(of4, stem6_n), (kinds4 / len(ids))[:, None])
     p6, spare6 = _level(stem6_n, p4[of4] * (kinds6 / kinds4[of4])[:, None])
     word_p, spare = _level(word_n, (p6 / kinds6[:, None])[of6])
     ratio = lambda p: np.log(p[..., 1] / p[..., 0])
-    stem_values = dict(zip(names6, (ratio(p6) + ratio(spare)).tolist(), strict=True)) | dict(zip(names4, (ratio(p4) + ratio(spare) + ratio(spare6)).tolist(), strict=True))
+    stem_values = Table([*names6, *names4], np.concatenate((ratio(p6) + ratio(spare), ratio(p4) + ratio(spare) + ratio(spare6))))
     word_p = np.concatenate((np.ones((1, 2)), word_p))
     values = ratio(word_p)
-    del known, of6, of4, names6, names4
+    del codes, of6, of4, names6, names4, word_n
     # every pair counts for its context; only those that have a value of their own come here
     less = {c: F.least(F.col(c).cast("double"), F.when(F.col(c) >= 3, DISCOUNTS[3]).when(F.col(c) == 2, DISCOUNTS[2]).when(F.col(c) == 1, DISCOUNTS[1]).otherwise(0.0)) for c in ("n0", "n1")}
     of = pairs.groupBy("v").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.sum(less["n0"]).alias("s0"), F.sum(less["n1"]).alias("s1"))
-    n, p = len(values), []
+    n = len(values)
     sums = np.zeros((n, 4))
     for own in _numbers(of, np.float64):
         sums[own[:, 0].astype(np.int64)] = own[:, 1:]
-    v, w, *own = np.concatenate([np.empty((0, 4), np.int32), *_numbers(pairs.filter(F.col("n0") + F.col("n1") >= PAIR_DOCS), np.int32)]).T
     taken = np.asarray(DISCOUNTS)
-    for c in (0, 1):
-        less_own = np.minimum(own[c], taken[np.minimum(own[c], 3)])
-        context, spared = sums[v, c], sums[v, 2 + c]
-        p.append(np.where(context > 0, (own[c] - less_own + spared * word_p[w, c]) / np.maximum(context, 1), word_p[w, c]))
-    keys, pair_values = v.astype(np.int64) * n + w, np.log(p[1] / p[0])
+    keys, pair_values = [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+    for rows in _numbers(pairs.filter(F.col("n0") + F.col("n1") >= PAIR_DOCS), np.int32):
+        v, w, *own = rows.T
+        p = []
+        for c in (0, 1):
+            less_own = np.minimum(own[c], taken[np.minimum(own[c], 3)])
+            context, spared = sums[v, c], sums[v, 2 + c]
+            p.append(np.where(context > 0, (own[c] - less_own + spared * word_p[w, c]) / np.maximum(context, 1), word_p[w, c]))
+        keys.append(v.astype(np.int64) * n + w)
+        pair_values.append(np.log(p[1] / p[0]).astype(np.float32))
+    del sums, word_p
+    keys, pair_values = np.concatenate(keys), np.concatenate(pair_values)
     order = np.argsort(keys)
-    return Model(ids, values, stem_values, keys[order], pair_values[order].astype(np.float32))
+    return Model(ids, values, stem_values, keys[order], pair_values[order])
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> None:
